@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import ann, byte_bpe, gif, html_text, minhash, packing, substring, token_files, toxicity
+from graphloom.llm import ann, byte_bpe, gif, html_text, minhash, ngram, packing, substring, token_files, toxicity
 from graphloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_substring(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents"), n=35, text=False)
 
 
+def op6_lm_scores(spark, sf_dir):
+    return ngram.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -46,5 +50,5 @@ def op10_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_token_files, op4_byte_bpe, op5_substring, op7_ann, op8_packing, op9_gif, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_token_files, op4_byte_bpe, op5_substring, op6_lm_scores, op7_ann, op8_packing, op9_gif, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
