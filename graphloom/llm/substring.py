@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphloom.llm.common import buckets_for, mix
 from graphloom.llm.words import from_gaps, from_planes, gaps, hashed, pack, planes, rows, split_words, windows, with_batches
@@ -42,7 +42,7 @@ class Batch:
     def __init__(self, table: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.number = int(table["batch"][0].as_py())
-        self.doc_ids, self.texts = table["doc_id"], table["text"].to_pylist()
+        self.doc_ids, self.texts, self.table = table["doc_id"], table["text"].to_pylist(), table
         self.hashes, self.counts = hashed(self.texts, lower=False)
         self.ends = np.cumsum(self.counts)
 
@@ -133,10 +133,16 @@ def spread(flags: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, n: int = 50, docs_per_batch: int = 1024, text: bool = True) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_words, n_removed, kept_sha256 and, with text, what is kept (joined by blanks)."""
+def remove_repeats(docs: DataFrame, n: int = 50, docs_per_batch: int = 1024, text: bool = True, carry: list[str] = ()) -> DataFrame:
+    """docs(doc_id, text) to doc_id, n_words, n_removed, kept_sha256 and, with text, what is kept: the words joined by
+    blanks, or the text as it was where nothing goes. Columns named in carry come along as c0, c1, ..."""
     buckets, block = buckets_for(docs.sparkSession), (n + 1) // 2
-    batches = with_batches(docs, docs_per_batch)
+    batches = with_batches(docs, docs_per_batch, carry)
+    made = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text
+    carried = [docs.select(f"`{name}`").schema[0] for name in carry]
+    made += "".join(f", c{k} {f.dataType.simpleString()}" for k, f in enumerate(carried))
+
+    empty = to_arrow_schema(docs.sparkSession.createDataFrame([], made).schema).empty_table()
 
     def probe(table: pa.Table) -> pa.Table:
         b = Batch(table)
@@ -158,7 +164,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, docs_per_batch: int = 1024, tex
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_words", "n_removed", "kept_sha256", "text"), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True) if text or k != "text"})
+            return empty
         b = Batch(table)
         start = np.zeros(len(b.hashes), bool)
         start[told_places(told)] = True
@@ -170,11 +176,10 @@ def remove_repeats(docs: DataFrame, n: int = 50, docs_per_batch: int = 1024, tex
             lost.append(int(out.sum()))
             shas.append(hashlib.sha256(left).hexdigest())
             if text:
-                kept.append(left.decode("utf-8", "replace"))
+                kept.append(left.decode("utf-8", "replace") if out.any() else t)
         columns = {"doc_id": b.doc_ids, "n_words": pa.array(b.counts), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
-        return pa.table(columns | ({"text": pa.array(kept, pa.string())} if text else {}))
+        return pa.table(columns | ({"text": pa.array(kept, pa.string())} if text else {}) | {f"c{k}": b.table[f"c{k}"] for k in range(len(carry))})
 
     hits = batches.groupBy("batch").applyInArrow(probe, SENT_DDL).groupBy("dest").applyInArrow(compare(4, True), TOLD_DDL)
     repeats = batches.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, SENT_DDL).groupBy("dest").applyInArrow(compare(8, False), TOLD_DDL)
-    made = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text
     return batches.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(cut, made)

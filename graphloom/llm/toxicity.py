@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,3 +198,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def score_of(model: Model, spark):
+    """A column function: the score of a text."""
+    shared = spark.sparkContext.broadcast((model.bias, model.weights))
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(*shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: own.score(t or "")).astype("float64")
+
+    return run

@@ -83,14 +83,16 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(windows(h, n))
 
 
-def with_batches(docs: DataFrame, docs_per_batch: int) -> DataFrame:
-    """documents as (batch, doc_id, text): groups by a hash of doc_id (of the text, without an id), of about that size.
+def with_batches(docs: DataFrame, docs_per_batch: int, carry: list[str] = ()) -> DataFrame:
+    """documents as (batch, doc_id, text, and of carry c0, c1, ...): groups by a hash of doc_id (of the text, without an id), of about that size.
 
     The count comes from the files' footers where docs is a plain scan. All passes over one plan share this exchange.
     """
     n = max(1, -(-docs.count() // docs_per_batch))
     key = F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(F.pmod(key, F.lit(n)).cast("int").alias("batch"), "doc_id", "text")
+    more = [F.col(f"`{name}`").alias(f"c{k}") for k, name in enumerate(carry)]
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    return plain.select(F.pmod(key, F.lit(n)).cast("int").alias("batch"), *plain.columns)
 
 
 def pack(dest: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, list[np.ndarray]]]:
