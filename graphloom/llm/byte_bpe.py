@@ -127,7 +127,7 @@ def digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
         as_bytes, as_digits = tables(ranks_path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for whole in batches:
-            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(k, 100) for k in range(0, whole.num_rows, 100)):
                 lists = b.column(1)
                 yield pa.record_batch([b.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array([sha(x[:-1]) for x in decoded(lists, as_digits)]), pa.array([sha(x) for x in decoded(lists, as_bytes)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

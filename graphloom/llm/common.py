@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,18 +39,17 @@ def buckets_for(spark: SparkSession, per_partition: int = 4) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
-    """(ids, texts) of column 0 and column 1, about `most` characters at a time; a null text reads as empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of column 0 and column 1, about `most` bytes at a time; a null text reads as empty."""
     for batch in batches:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= most:
-                yield ids.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield ids.slice(start), texts[start:]
+        ids, texts = batch.column(0), batch.column(1)
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(sizes[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
+            yield ids.slice(start, end - start), [t or "" for t in texts.slice(start, end - start).to_pylist()]
+            start = end
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
