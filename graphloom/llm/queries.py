@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from graphloom.llm import ann, byte_bpe, gif, html_text, minhash, ngram, packing, substring, token_files, toxicity
+from graphloom.llm import ann, byte_bpe, gif, html_text, minhash, ngram, oracles, packing, substring, token_files, toxicity
 from graphloom.llm.common import table
 
 
@@ -51,4 +51,4 @@ def op10_html_text(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_token_files, op4_byte_bpe, op5_substring, op6_lm_scores, op7_ann, op8_packing, op9_gif, op10_html_text)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": oracles.MINHASH, "op5_substring": oracles.SUBSTRING, "op10_html_text": oracles.HTML}
