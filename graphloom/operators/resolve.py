@@ -90,7 +90,7 @@ def resolve_cpp_scoped_calls(graph: Graph) -> DataFrame:
     edges = _edge_id(graph.edges)
     calls = edges.where((F.col("kind") == "CALLS") & F.col("target").contains("::") & ~F.col("target").contains("/")).join(own, "source")
     scopes = F.filter(F.split("around", "::"), lambda s: s != "")
-    written, method = F.substring_index("target", "::", F.size(F.split("target", "::")) - 1), F.substring_index("target", "::", -1)
+    written, method = F.regexp_replace("target", "::[^:]*$", ""), F.substring_index("target", "::", -1)
     tries = F.transform(F.sequence(F.size("scopes"), F.lit(0)), lambda k: F.struct((F.size("scopes") - k).alias("r"), F.array_join(F.concat(F.slice("scopes", F.lit(1), k), F.array("written")), "::").alias("p")))
     asked = calls.withColumn("scopes", scopes).withColumn("written", written).withColumn("method", method).select("_id", "method", F.explode(tries).alias("t")).select("_id", "method", "t.r", "t.p")
     nodes = graph.nodes.where("language = 'cpp'").select(F.col("name").alias("method"), F.col("parent_name").alias("p"), "qualified_name")
