@@ -1,8 +1,8 @@
 """Encoding with the tokenizers library, one call for each distinct chunk of text.
 
-Every pattern used here lets a token cross from one chunk to the next nowhere: a chunk is a run of non-spaces with the
-one blank before it, or a run of white space (without its last character, if text follows). So the ids of a text are the
-ids of its chunks, and a chunk that comes again is looked up.
+Every pattern used here lets a token cross from one chunk to the next nowhere: a chunk is a run of letters, of
+punctuation or of other non-spaces with the one blank before it, or a run of white space (without its last character, if
+text follows). So the ids of a text are the ids of its chunks, and a chunk that comes again is looked up.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -17,8 +18,18 @@ from graphloom.llm.common import gather
 
 #: White space as the tokenizers' patterns have it (fixed values of Unicode's White_Space property).
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WORD_CHUNK = re.compile(f"[^{SPACE}]+")
+#: Letters and ASCII punctuation between which every pattern here begins a new token (fixed values of Unicode).
+LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
+MARKS, FIRST_MARKS = r"!-/:-@\[-`{-~", r"!-&(-/:-@\[-`{-~"
+
+
+def chunk_pattern(before: str, spaces: bool) -> re.Pattern:
+    """A run of letters, a run of punctuation that begins no contraction, else all up to the next white space."""
+    runs = [f"{before}[{LETTERS}]+(?=[{MARKS}0-9{SPACE}]|\\Z)", f"{before}[{FIRST_MARKS}][{MARKS}]*(?=[{SPACE}{LETTERS}0-9]|\\Z)", f"{before}[^{SPACE}]+"]
+    return re.compile("|".join(runs + [f"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]+"] * spaces))
+
+
+CHUNK, WORD_CHUNK = chunk_pattern(" ?", True), chunk_pattern("", False)
 
 
 def load(path: str):
@@ -31,25 +42,38 @@ def load(path: str):
     return made
 
 
+class Numbers(dict):
+    """Chunk to its number; a new chunk gets the next one and is noted in fresh."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        number = self[chunk] = len(self)
+        return number
+
+
 class ChunkEncoder:
-    """Texts to ids. The table of chunks is emptied when it passes `most` entries, so memory is bounded."""
+    """Texts to ids. When the table of chunks passes `most` entries it keeps those of the last slice, so it is bounded."""
 
-    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 400_000):
+    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000):
         self.tokenizer, self.chunks, self.most = tokenizer, chunks, most
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], first: int) -> None:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, made), np.int64, len(made))
         ids = np.fromiter((i for e in made for i in e), np.uint32, int(lengths.sum()))
-        first, n = len(self.known), len(new)
+        n = len(new)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
         if first + n > len(self.starts):
@@ -58,19 +82,28 @@ class ChunkEncoder:
         self.lengths[first : first + n] = lengths
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.known.update(zip(new, range(first, first + n), strict=True))
+
+    def _keep(self, chunks: set[str]) -> None:
+        names = list(chunks)
+        old = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        ids, ends = gather(self.pool, self.starts, self.lengths, old)
+        lengths = self.lengths[old]
+        self._forget()
+        self.pool, self.used, self.starts, self.lengths = ids, len(ids), ends - lengths, lengths
+        self.known = Numbers(zip(names, range(len(names)), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind another, and the number of ids of each text."""
-        if len(self.known) > self.most:
-            self._forget()
         per_text = [self.chunks.findall(t) for t in texts]
-        flat = [c for chunks in per_text for c in chunks]
-        if new := list(set(flat).difference(self.known)):
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        counts, first = np.fromiter(map(len, per_text), np.int64, len(per_text)), len(self.known)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
+        if new := self.known.fresh:
+            self._learn(new, first)
+            self.known.fresh = []
         ids, ends = gather(self.pool, self.starts, self.lengths, which)
-        bounds = np.cumsum(np.fromiter(map(len, per_text), np.int64, len(texts)))
+        if len(self.known) > self.most:
+            self._keep(set(chain.from_iterable(per_text)))
+        bounds = np.cumsum(counts)
         upto = np.concatenate([[0], ends])[bounds]
         return ids, np.diff(upto, prepend=0)
 
