@@ -132,7 +132,8 @@ def event_calls(graph: Graph) -> DataFrame:
     ones are dropped first."""
     publishes = graph.of_kind("PUBLISHES").select(F.col("target").alias("event"), "source", "file_path", "line")
     handles = graph.of_kind("HANDLES").select(F.col("target").alias("event"), F.col("source").alias("target"))
-    made = publishes.join(handles, "event").select(F.lit("CALLS").alias("kind"), "source", "target", "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("INFERRED").alias("confidence_tier"), F.to_json(F.struct(F.lit("event").alias("derived"), "event")).alias("extra")).distinct()
+    pairs = publishes.join(handles, "event").groupBy("source", "target", "file_path", "line").agg(F.min("event").alias("event"))
+    made = pairs.select(F.lit("CALLS").alias("kind"), "source", "target", "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("INFERRED").alias("confidence_tier"), F.to_json(F.struct(F.lit("event").alias("derived"), "event")).alias("extra"))
     kept = graph.edges.where(~F.coalesce(F.get_json_object("extra", "$.derived") == "event", F.lit(False))) if "extra" in graph.edges.columns else graph.edges
     return kept.unionByName(made, allowMissingColumns=True)
 

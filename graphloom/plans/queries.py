@@ -15,6 +15,7 @@ from graphloom.sources import tables
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 GRAPH = f"WITH nodes AS ({tables.plain(tables.NODES)}), edges AS ({tables.plain(tables.EDGES)})"
 CHAIN = f"WITH nodes AS ({tables.plain(tables.CHAIN_NODES)}), edges AS ({tables.plain(tables.CHAIN_EDGES)})"
+RICH = f"WITH nodes AS ({tables.plain(tables.RICH_NODES)}), edges AS ({tables.plain(tables.RICH_EDGES)})"
 FILE = "part/Brand#2"
 DEGREES = "degrees AS (SELECT q, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(count(*) AS BIGINT) AS degree FROM (SELECT source AS q, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges) AS ends GROUP BY q)"
 ARCS = """arcs AS (SELECT s, t, max(w) AS w FROM (SELECT CASE WHEN kind = 'TESTED_BY' THEN source ELSE target END AS s, CASE WHEN kind = 'TESTED_BY' THEN target ELSE source END AS t,
@@ -149,15 +150,112 @@ def disambiguation(spark, sf_dir):
     return patterns.disambiguate(store.search_nodes(g, "Brand#2", None), "Brand#2").select("qualified_name", "match_rank")
 
 
-@query(None)
-def inheritance_patterns(spark, sf_dir):
-    """Edge kinds that these tables don't have: the patterns run and find nothing."""
-    g, name = graph(spark, sf_dir), "nation/7"
-    out = [patterns.PATTERNS[p](g, name).select(F.lit(p).alias("pattern"), F.count("*").over(Window.partitionBy()).alias("n")) for p in ("references_to", "inheritors_of", "triggers_of", "triggered_by", "publishers_of", "listeners_of", "handlers_of", "endpoints_for")]
-    found = out[0]
-    for o in out[1:]:
-        found = found.union(o)
-    return found
+def rich(spark, sf_dir) -> Graph:
+    return tables.rich_graph(spark, sf_dir)
+
+
+def _ends(kinds: str, own: str, other: str, name: str, more: str = "") -> str:
+    return f"{RICH} SELECT qualified_name FROM nodes WHERE qualified_name IN (SELECT {other} FROM edges WHERE kind IN ({kinds}) AND {own} = {name}){more}"
+
+
+S2, C12 = "(SELECT qualified_name FROM nodes WHERE qualified_name LIKE '%::S2')", "(SELECT qualified_name FROM nodes WHERE qualified_name LIKE '%::C12')"
+
+
+@query(_ends("'REFERENCES'", "target", "source", S2))
+def references_to(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.references_to(g, seed(g, "::S2")).select("qualified_name")
+
+
+@query(_ends("'INHERITS', 'IMPLEMENTS'", "target", "source", S2))
+def inheritors_of(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.inheritors_of(g, seed(g, "::S2")).select("qualified_name")
+
+
+@query(_ends("'TRIGGERS'", "source", "target", S2))
+def triggers_of(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.triggers_of(g, seed(g, "::S2")).select("qualified_name")
+
+
+@query(_ends("'TRIGGERS'", "target", "source", C12))
+def triggered_by(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.triggered_by(g, seed(g, "::C12")).select("qualified_name")
+
+
+@query(_ends("'PUBLISHES'", "target", "source", "'event/purchase'"))
+def publishers_of(spark, sf_dir):
+    return patterns.publishers_of(rich(spark, sf_dir), "event/purchase").select("qualified_name")
+
+
+@query(_ends("'HANDLES'", "target", "source", "'event/purchase'"))
+def listeners_of(spark, sf_dir):
+    return patterns.listeners_of(rich(spark, sf_dir), "event/purchase").select("qualified_name")
+
+
+@query(_ends("'HANDLES'", "target", "source", "(SELECT min(qualified_name) FROM nodes WHERE kind = 'Endpoint')"))
+def handlers_of(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.handlers_of(g, g.nodes.where("kind = 'Endpoint'").select(F.min("qualified_name")).first()[0]).select("qualified_name")
+
+
+@query(_ends("'HANDLES'", "source", "target", S2, " AND kind = 'Endpoint'"))
+def endpoints_for(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return patterns.endpoints_for(g, seed(g, "::S2")).select("qualified_name")
+
+
+@query(f"{RICH} SELECT target FROM edges WHERE kind = 'IMPORTS_FROM' AND source = 'nation/4'")
+def imports_of(spark, sf_dir):
+    return patterns.imports_of(rich(spark, sf_dir), "nation/4")
+
+
+@query(f"{RICH} SELECT DISTINCT file_path AS importer FROM edges WHERE kind = 'IMPORTS_FROM' AND target = 'nation/4'")
+def importers_of(spark, sf_dir):
+    return patterns.importers_of(rich(spark, sf_dir), "nation/4")
+
+
+@query(f"{RICH} SELECT DISTINCT source FROM edges WHERE kind = 'DEPENDS_ON_CONFIG' AND target IN ('config:app.db.url', 'config:app.db.url.*', 'config:app.*', 'config:app.db.*')")
+def consumers_of(spark, sf_dir):
+    return patterns.consumers_of(rich(spark, sf_dir), "app.db.url")
+
+
+@query(f"{RICH}, s AS (SELECT name FROM nodes WHERE qualified_name LIKE '%::S2') SELECT source, target FROM edges WHERE kind = 'CALLS' AND target = (SELECT name FROM s) AND source IN (SELECT qualified_name FROM nodes WHERE language = 'python')")
+def edges_by_target_name(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    name = g.nodes.where(F.col("qualified_name") == seed(g, "::S2")).first().name
+    return store.edges_by_target_name(g, name, "CALLS", "python").select("source", "target")
+
+
+@query(f"{RICH} SELECT DISTINCT p.source, h.source AS target, 0.95::DOUBLE AS confidence FROM edges p JOIN edges h ON p.target = h.target WHERE p.kind = 'PUBLISHES' AND h.kind = 'HANDLES'")
+def event_calls(spark, sf_dir):
+    g = rich(spark, sf_dir)
+    return resolve.event_calls(g.with_tables(edges=g.edges.where("kind <> 'CALLS'"))).where("kind = 'CALLS'").select("source", "target", "confidence")
+
+
+@query(f"""{RICH}, near AS (SELECT DISTINCT file_path AS c, split_part(target, '::', 1) AS h FROM edges WHERE kind = 'IMPORTS_FROM' UNION SELECT DISTINCT file_path, file_path FROM edges),
+  f AS (SELECT e.source, e.target AS name, count(DISTINCT n.qualified_name) AS n, min(n.qualified_name) AS found FROM edges e JOIN nodes n ON n.name = e.target AND n.kind IN ('Function', 'Test', 'Class') JOIN near ON c = e.file_path AND h = n.file_path WHERE e.kind = 'CALLS' GROUP BY 1, 2)
+  SELECT e.source, CASE WHEN f.n = 1 THEN f.found ELSE e.target END AS target FROM edges e LEFT JOIN f ON f.source = e.source AND f.name = e.target WHERE e.kind = 'CALLS'""")
+def imported_calls(spark, sf_dir):
+    return resolve.resolve_bare_calls(rich(spark, sf_dir)).where("kind = 'CALLS'").select("source", "target")
+
+
+@query(f"{RICH}, f AS (SELECT DISTINCT split_part(target, '::', 1) AS f, file_path AS d FROM edges WHERE kind = 'IMPORTS_FROM' UNION SELECT n.file_path, e.file_path FROM edges e JOIN nodes n ON n.qualified_name = e.target WHERE e.kind IN ('CALLS', 'IMPORTS_FROM', 'INHERITS', 'IMPLEMENTS')) SELECT f AS file_path, d AS dependent FROM f WHERE f <> d AND f IN ('nation/1', 'nation/2')")
+def file_dependents(spark, sf_dir):
+    wanted = spark.createDataFrame([("nation/1",), ("nation/2",)], "file_path string")
+    return traverse.single_hop_dependents(rich(spark, sf_dir), wanted)
+
+
+@query(f"{RICH} SELECT split_part(qualified_name, '/', 1) AS grouping, count(*) AS n FROM nodes WHERE kind <> 'File' GROUP BY 1")
+def detected_communities(spark, sf_dir):
+    return communities.detect_by_directory(rich(spark, sf_dir)).groupBy("grouping").agg(F.count("*").alias("n"))
+
+
+@query(f"{RICH} SELECT count(*) AS n FROM nodes WHERE kind = 'Event'")
+def count_by_kind(spark, sf_dir):
+    return store.nodes_by_kind(rich(spark, sf_dir), ("Event",)).agg(F.count("*").alias("n"))
 
 
 # Reads and counts

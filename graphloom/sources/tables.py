@@ -70,6 +70,42 @@ SELECT 'TESTED_BY', concat('conv/', conv_id, '/', turn % 2, '::t', turn), concat
 FROM (SELECT DISTINCT conv_id, turn FROM {conversations}) AS t WHERE turn % 5 = 2
 """
 
+RICH_NODES = NODES + """
+UNION ALL
+SELECT DISTINCT 'Event', event_type, concat('event/', event_type), concat('event/', event_type), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'python',
+       CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), FALSE, CAST(NULL AS BIGINT)
+FROM {events}
+UNION ALL
+SELECT 'Endpoint', r_name, concat('api/', r_regionkey, '::', r_name), concat('api/', r_regionkey), CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'python',
+       CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), FALSE, CAST(NULL AS BIGINT)
+FROM {region}
+"""
+
+RICH_EDGES = """
+SELECT kind, source, target, split_part(source, '::', 1) AS file_path, line FROM (
+SELECT 'IMPORTS_FROM' AS kind, concat('nation/', n_nationkey) AS source, concat('nation/', (n_nationkey * 3 + 1) % 25) AS target, CAST(1 AS BIGINT) AS line FROM {nation}
+UNION ALL
+SELECT 'INHERITS', concat('nation/', a.s_nationkey, '::S', a.s_suppkey), concat('nation/', b.s_nationkey, '::S', b.s_suppkey), CAST(2 AS BIGINT)
+FROM {supplier} AS a JOIN {supplier} AS b ON b.s_suppkey = a.s_suppkey % 10 WHERE a.s_suppkey > 10
+UNION ALL
+SELECT 'REFERENCES', concat('nation/', c_nationkey, '::C', c_custkey), concat('nation/', s_nationkey, '::S', s_suppkey), CAST(3 AS BIGINT)
+FROM {customer} JOIN {supplier} ON s_suppkey = c_custkey % 10
+UNION ALL
+SELECT 'CALLS', concat('nation/', c_nationkey, '::C', c_custkey), s_name, CAST(4 AS BIGINT) FROM {customer} JOIN {supplier} ON s_suppkey = c_custkey % 10
+UNION ALL
+SELECT DISTINCT 'PUBLISHES', concat('nation/', c_nationkey, '::C', c_custkey), concat('event/', event_type), CAST(5 AS BIGINT) FROM {events} JOIN {customer} ON c_custkey = user_id
+UNION ALL
+SELECT 'HANDLES', concat('nation/', s_nationkey, '::S', s_suppkey), concat('event/', event_type), CAST(6 AS BIGINT)
+FROM {supplier} JOIN (SELECT DISTINCT event_type FROM {events}) AS t ON length(event_type) % 4 = s_suppkey % 4
+UNION ALL
+SELECT 'HANDLES', concat('nation/', s_nationkey, '::S', s_suppkey), concat('api/', r_regionkey, '::', r_name), CAST(7 AS BIGINT) FROM {supplier} JOIN {region} ON r_regionkey = s_suppkey % 5
+UNION ALL
+SELECT 'TRIGGERS', concat('nation/', s_nationkey, '::S', s_suppkey), concat('nation/', c_nationkey, '::C', c_custkey), CAST(8 AS BIGINT) FROM {supplier} JOIN {customer} ON c_custkey % 10 = s_suppkey
+UNION ALL
+SELECT 'DEPENDS_ON_CONFIG', concat('nation/', s_nationkey, '::S', s_suppkey), CASE s_suppkey % 3 WHEN 0 THEN 'config:app.db.url' WHEN 1 THEN 'config:app.db.*' ELSE 'config:app.cache.size' END, CAST(9 AS BIGINT) FROM {supplier}
+) AS made
+"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
 
@@ -87,6 +123,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(run(spark, sf_dir, NODES), run(spark, sf_dir, EDGES))
 
 
+def rich_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same nodes with events and endpoints, and the kinds of edges that the first graph lacks."""
+    return Graph(run(spark, sf_dir, RICH_NODES), run(spark, sf_dir, RICH_EDGES))
+
+
 def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Turns of conversations as functions that call the next turn."""
     return Graph(run(spark, sf_dir, CHAIN_NODES), run(spark, sf_dir, CHAIN_EDGES))
