@@ -58,8 +58,9 @@ class Numbers(dict):
 class ChunkEncoder:
     """Texts to ids. When the table of chunks passes `most` entries it keeps those of the last slice, so it is bounded."""
 
-    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000):
-        self.tokenizer, self.chunks, self.most = tokenizer, chunks, most
+    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000, folds: bool = False):
+        """folds: the tokenizer takes lower case, so ASCII texts are lowered before chunks are looked up."""
+        self.tokenizer, self.chunks, self.most, self.folds = tokenizer, chunks, most, folds
         self._forget()
 
     def _forget(self) -> None:
@@ -94,6 +95,8 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind another, and the number of ids of each text."""
+        if self.folds:
+            texts = [t.lower() if t.isascii() else t for t in texts]
         per_text = [self.chunks.findall(t) for t in texts]
         counts, first = np.fromiter(map(len, per_text), np.int64, len(per_text)), len(self.known)
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
@@ -111,7 +114,7 @@ class ChunkEncoder:
 @functools.lru_cache(maxsize=4)
 def encoder_for(path: str, chunks: re.Pattern = CHUNK) -> ChunkEncoder:
     """One encoder for each worker process, so its table outlives a task."""
-    return ChunkEncoder(load(path), chunks)
+    return ChunkEncoder(load(path), chunks, folds=chunks == WORD_CHUNK)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
