@@ -323,3 +323,50 @@ def test_measures(spark):
     df = lambda *x: spark.createDataFrame([(v,) for v in x], "k string")
     assert tuple(summaries.precision_recall(df("a", "b"), df("b", "c", "d"), "k").first()) == (0.5, 0.3333, 0.4)
     assert tuple(summaries.precision_recall(df(), df(), "k").first()) == (1.0, 1.0, 1.0)
+
+
+# Reports
+
+
+def test_forgetting_equals_a_build_without(make, spark):
+    from graphloom.operators import reports
+
+    nodes = [node("helper", "util.py"), node("shared", "shared.py"), node("main", "main.py")]
+    g = make(nodes, [edge("main.py::main", "util.py::helper"), edge("main.py::main", "shared.py::shared"), edge("main.py", "util.py", "IMPORTS_FROM")])
+    rebuilt = make([nodes[2]], [edge("main.py::main", "helper"), edge("main.py::main", "shared.py::shared"), edge("main.py", "util", "IMPORTS_FROM")])
+    contents = spark.createDataFrame([("main.py", b""), ("shared.py", b"")], "path string, content binary")
+    asked = []
+
+    def parse(files):
+        asked.extend(r.path for r in files.collect())
+        return rebuilt
+
+    out = reports.forget_files(g, spark.createDataFrame([("util.py",)], "file_path string"), parse, contents)
+    assert asked == ["main.py"] and names(out.nodes, "name") == {("shared",), ("main",)}
+    assert names(out.edges, "source", "target") == {("main.py::main", "helper"), ("main.py::main", "shared.py::shared"), ("main.py", "util")}
+
+
+def test_reports(make, tmp_path):
+    from graphloom.operators import reports
+
+    g = make([node(x, lines=(k * 10, k * 10 + 5)) for k, x in enumerate("abcd")], [edge("/a.py::a", "/a.py::c"), edge("/a.py::a", "/a.py::b"), edge("/a.py::b", "/a.py::d"), edge("/a.py::d", "ghost")])
+    assert reports.walk_depth_first(g, "/a.py::a", 2) == [("/a.py::a", 0), ("/a.py::b", 1), ("/a.py::d", 2), ("/a.py::c", 1)]
+    context = reports.review_context(g, ["/a.py"])
+    assert context["changed"].count() == 4 and context["ranges"].count() == 4 and context["impacted"].count() == 0
+    assert reports.within_tokens(g.nodes.select("name"), ["name"], 8).count() == 2
+    assert reports.gap_note("python", "callers_of") and reports.gap_note("go", "tests_for") and reports.gap_note("go", "callers_of") is None
+    assert reports.compact("s", nodes=list(range(9))) == {"summary": "s", "risk": "unknown", "nodes": [0, 1, 2, 3, 4], "nodes_total": 9}
+    assert "why" in open(reports.save_answer(str(tmp_path), "why", "so")).read()
+    sizes = g.nodes.sparkSession.createDataFrame([("/a.py", 40_000)], "file_path string, length long")
+    postings = search.index(g.nodes, ("name", "qualified_name"), "qualified_name")
+    assert reports.token_benchmark(g, postings, sizes, ["a", "b"]).where("ratio > 10").count() == 2
+
+
+def test_maintenance_of_communities(make):
+    g = make([node(f"n{i}", f"/p/{i % 2}.py", community=1 if i < 30 else 2) for i in range(34)], [edge(f"/p/{i % 2}.py::n{i}", f"/p/{j % 2}.py::n{j}") for i in range(15) for j in range(i)] + [edge(f"/p/{i % 2}.py::n{i}", f"/p/{j % 2}.py::n{j}") for i in range(15, 30) for j in range(15, i)])
+    assert names(communities.oversized(g), "community_id") == {(1,)}
+    assert communities.split_oversized(g).select("part").distinct().count() == 2
+    assert communities.needs_detection(g, ["/p/0.py"]) and not communities.needs_detection(g, ["/q.py"])
+    members = g.nodes.select("qualified_name").limit(3).withColumn("community_id", F.lit(9).cast("long"))
+    assert store.has_nodes(g, "python") and communities.store_communities(g.nodes, members).where("community_id = 9").count() == 3
+    assert analytics.auto_mode(10, 10) == "full" and analytics.auto_mode(5000, 10) == "community" and analytics.auto_mode(10, 10_000, has_communities=False) == "file"
