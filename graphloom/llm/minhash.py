@@ -5,11 +5,14 @@ with a value of that round, and a bin keeps its least value; in t more rounds ro
 So every coordinate is filled, whatever the set's size, and the rounds end when all are. Coordinates are cut into bands;
 documents that share a band are candidates, and each candidate pair is confirmed on the full shingle sets.
 
-No group of candidates is expanded into all its pairs. Equal sets become one class. Of each band's group every member is
-compared with the group's smallest; then components are joined, and only in groups that still have members of several
-components the members outside the largest one are compared with the members of other components, behind a filter by
-set size and by a 128-bit sketch that a pair at the threshold misses with a probability below 1e-7. With t = 128 and
-bands of 4, a pair at the threshold of 0.8 shares no band with a probability of 5e-8.
+No group of candidates is expanded into all its pairs. Equal sets become one class. In each band's group every member is
+compared with the most central one (whose bands are shared most); then components are joined. In groups that still have
+members of several components, those outside the largest one are searched for links by an exact prefix filter: sets are
+ordered by a rough frequency of their shingles, rare ones first, two sets at the threshold share one of their first
+20 % + 1, and the places of the first shared ones bound the intersection. So copies that differ from the rest of their
+group by their own edits meet nobody. The rough frequencies are counters of a fixed number of cells; they set the order
+only, any order is exact. With t = 128 and bands of 4, a pair at the threshold of 0.8 shares no band with a probability
+of 5e-8.
 
 Results at the edges: a text that is null or without words has an empty set and links with nothing; rows with equal
 doc_id are one document, linked by any of its texts, and each row is returned; a row without doc_id has no component
@@ -33,8 +36,8 @@ from graphloom.llm.words import hashed, shingles
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bits of a value that hold the round.
 ROUND_BITS = 9
-#: Of 128 sketch bits, how many a pair at the threshold agrees in at least: 115 are expected, with a deviation of 3.4.
-AGREE = 95
+#: Cells of the rough frequencies of shingles.
+CELLS = 1 << 20
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -68,17 +71,11 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def sketch_bits(sketch: np.ndarray) -> np.ndarray:
-    """One random bit of each of 128 coordinates, as two numbers."""
-    bits = (mix(sketch[:, :128]) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view("<i8")
-
-
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, b0 long, b1 long"
+SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 def sketch(docs: DataFrame, words: int = 2, t: int = 128, bands: int = 32) -> DataFrame:
-    """docs(doc_id, text) to the size and a 128-bit digest of each set, its band keys and sketch bits."""
+    """docs(doc_id, text) to the size and a 128-bit digest of each set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, texts in text_slices(batches):
@@ -86,22 +83,18 @@ def sketch(docs: DataFrame, words: int = 2, t: int = 128, bands: int = 32) -> Da
             ends = np.cumsum(counts)
             sets = [shingles(flat[e - c : e], words) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys, bits, digests = [None] * len(sets), np.zeros((len(sets), 2), np.int64), [None] * len(sets)
+            keys, digests = [None] * len(sets), [None] * len(sets)
             if full:
                 made = sketches([sets[k] for k in full], t)
-                bits[full] = sketch_bits(made)
                 for k, key in zip(full, band_keys(made, bands).view(np.int64), strict=True):
                     keys[k], digests[k] = key, xxhash.xxh3_128_digest(sets[k].tobytes())
-            yield pa.record_batch([doc_ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "n_shingles", "digest", "bands", "b0", "b1"])
+            yield pa.record_batch([doc_ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) of doc_ids those whose sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(ids, "id", "left_semi")
+def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs(a, b) of ids those whose sets have 100 * intersection >= percent * union. texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[str, np.ndarray]] = {}
@@ -152,33 +145,68 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("component").alias("node"), "component").distinct())
 
 
+def prefix_pairs(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """placed(id, c, out) to the pairs (a, b) that may be links, by the prefix filter: of different components c, one of
+    them marked out."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                h = shingles(hashed([b.column(0)[k].as_py()], True)[0], words)
+                yield pa.record_batch([pa.array((h % np.uint64(CELLS)).astype(np.int32))], ["cell"])
+
+    own = texts.join(placed, "id")
+    # At most CELLS rows, whatever the input.
+    counted = own.select("text").mapInArrow(cells, "cell int").groupBy("cell").count().toArrow()
+    rough = np.zeros(CELLS, np.uint32)
+    rough[counted["cell"].to_numpy()] = np.minimum(counted["count"].to_numpy(), 0xFFFFFFFF)
+    shared = placed.sparkSession.sparkContext.broadcast(rough)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                h = shingles(hashed([b.column(3)[k].as_py()], True)[0], words)
+                n = len(h)
+                first = np.lexsort((h, shared.value[(h % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                at = pa.array(np.zeros(len(first), np.int64))
+                yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(np.full(len(first), n, np.int32)), *[b.column(i).slice(k, 1).take(at) for i in range(3)]], ["h", "at", "n", "id", "c", "out"])
+
+    first = durable(own.select("id", "c", "out", "text").mapInArrow(prefixes, "h long, at int, n int, id long, c long, out boolean"))
+    left = first.where("out").select("h", *[F.col(x).alias(f"{x}_1") for x in ("at", "n", "id", "c")])
+    most = F.least(F.col("n") - F.col("at"), F.col("n_1") - F.col("at_1"))
+    right = first.withColumnRenamed("h", "h_2")
+    found = left.join(right, (F.col("h") == F.col("h_2")) & (F.col("c") != F.col("c_1")) & (~F.col("out") | (F.col("id") < F.col("id_1"))) & (100 * most >= percent * (F.col("n") + F.col("n_1") - most)))
+    return found.select(F.greatest("id", "id_1").alias("a"), F.least("id", "id_1").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, bands: int = 32) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept, one row for each row of docs."""
     sketched = durable(sketch(docs, words, t, bands))
     named = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = named.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = durable(named.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")))
     # One row of each class has its bands: those that hold its smallest doc_id.
-    reps = durable(named.join(classes.select("digest", "rep"), [named.digest == classes.digest, named.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "b0", "b1", "bands"))
-
-    exploded = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    members = durable(exploded.join(leaders, "key"))
-    stars = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = durable(verify(stars, docs, words, percent))
+    reps = named.join(classes.select("digest", "rep"), [named.digest == classes.digest, named.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"])
+
+    exploded = durable(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "n")
+    members = durable(exploded.join(shared, "key"))
+    central = members.groupBy("rep").agg(F.sum("n").alias("central"))
+    ranked = members.join(central, "rep")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("central", -F.col("rep"), "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
+    stars = durable(members.join(leaders, "key").where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct())
+    # The texts of all candidates, once; every comparison reads them from here.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = durable(texts.join(central.select(F.col("rep").alias("id")), "id", "left_semi"))
+    links = durable(verify(stars, texts, words, percent))
     joined = components(links)
 
-    # Groups with members of several components: all that lie outside the largest one against the others.
+    # Groups with members of several components.
     placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = placed.groupBy("key", "c").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("main"))
-    mixed = placed.join(main, "key").join(reps.drop("bands"), "rep")
-    left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_1") for x in ("rep", "c", "n_shingles", "b0", "b1")])
-    agree = F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_1"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("b1_1"))) <= 128 - AGREE
-    alike = (100 * F.col("n_shingles") >= percent * F.col("n_shingles_1")) & (100 * F.col("n_shingles_1") >= percent * F.col("n_shingles")) & agree
-    right = mixed.withColumnRenamed("key", "key_2")
-    across = left.join(right, (F.col("key") == F.col("key_2")) & (F.col("c") != F.col("c_1")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("rep_1"))) & alike)
-    across = across.select(F.greatest("rep", "rep_1").alias("a"), F.least("rep", "rep_1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    further = durable(verify(durable(across), docs, words, percent))
+    placed = durable(placed.join(main, "key").groupBy(F.col("rep").alias("id"), "c").agg(F.max(F.col("c") != F.col("main")).alias("out")))
+    across = durable(prefix_pairs(placed, texts, words, percent).join(stars, ["a", "b"], "left_anti"))
+    further = durable(verify(across, texts, words, percent))
     if not further.isEmpty():
         joined = components(links.union(further))
 
