@@ -99,7 +99,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 12, leaf: int = 48, probes: int = 60, sample: int = 16_384, block: int = 4096, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, leaf: int = 48, probes: int = 300, sample: int = 16_384, block: int = 4096, seed: int = 11) -> DataFrame:
     """vectors(vec_id, embedding) to query_id, rank, vec_id, score for the queries with vec_id % every = 0."""
     spark = vectors.sparkSession
     e = F.col("embedding")
