@@ -45,8 +45,9 @@ class EliasFano:
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low_bits
-        raw = np.ascontiguousarray(self.low[(bit >> 3)[:, None] + np.arange(8)]).view("<u8").reshape(-1)
-        return raw >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
+        # Eight bytes from any byte on.
+        words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
+        return words[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero (from 0) of the unary part."""
@@ -54,24 +55,31 @@ class EliasFano:
         word = np.minimum(word, len(self.high) - 1)
         return word * 64 + _select(~self.high[word], k - self.zeros[word].astype(np.int64))
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """For each x the index of the first number that isn't smaller (n if none)."""
+    def _place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the index of the first number that isn't smaller (n if none), and whether it equals x."""
         if not self.n or not len(x):
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         up = x >> np.uint64(self.low_bits)
         last = np.uint64(self.zeros[-1] - 1)
         beyond = up > last
         up = np.minimum(up, last).astype(np.int64)
         start = np.where(up > 0, self._zero(np.maximum(up - 1, 0)) - (up - 1), 0)
         start = np.minimum(start, self.n)
-        end = np.minimum(self._zero(up) - up, self.n)
+        limit = np.minimum(self._zero(up) - up, self.n)
+        end = limit.copy()
         low = x & np.uint64((1 << self.low_bits) - 1)
         while (open_ := np.flatnonzero(start < end)).size:
             middle = (start[open_] + end[open_]) // 2
             less = self._low(middle) < low[open_]
             start[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
-        return np.where(beyond, self.n, start)
+        # All numbers below limit here have x's high bits.
+        same = (start < limit) & ~beyond
+        same[same] = self._low(start[same]) == low[same]
+        return np.where(beyond, self.n, start), same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        return self._place(x)[0]
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The numbers at these indexes."""
@@ -82,13 +90,8 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """For each x its index, or -1."""
-        i = self.successor(x)
-        inside = i < self.n
-        out = np.full(len(x), -1, np.int64)
-        if inside.any():
-            same = self.at(i[inside]) == x[inside]
-            out[np.flatnonzero(inside)[same]] = i[inside][same]
-        return out
+        i, same = self._place(x)
+        return np.where(same, i, -1)
 
     def save(self, folder: Path, name: str) -> None:
         np.save(folder / f"{name}.head.npy", np.array([self.n, self.low_bits]))
@@ -126,15 +129,19 @@ class Trie:
         np.save(folder / "codes.npy", codes)
         return cls({name: EliasFano.load(folder, name) for name in cls.PARTS}, np.load(folder / "codes.npy", mmap_mode="r"))
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """For each pair its index, or -1: the context's range, then the successor's place in it."""
+    def find(self, context: np.ndarray, successor: np.ndarray, repeats: np.ndarray | None = None) -> np.ndarray:
+        """For each pair its index, or -1: the context's range, then the successor's place in it. With repeats, each
+        context stands for so many successors."""
         p = self.parts
-        c, w = p["contexts"].find(context), p["vocabulary"].find(successor)
-        out = np.full(len(context), -1, np.int64)
+        repeats = np.ones(len(context), np.int64) if repeats is None else repeats
+        c = p["contexts"].find(context)
+        start, end = (p["pointers"].at(np.maximum(c, 0) + k).astype(np.int64) if p["contexts"].n else c for k in (0, 1))
+        words, of = np.unique(successor, return_inverse=True)
+        w = p["vocabulary"].find(words)[of]
+        c, start, end = (np.repeat(x, repeats) for x in (c, start, end))
+        out = np.full(len(c), -1, np.int64)
         known = np.flatnonzero((c >= 0) & (w >= 0))
         if known.size:
-            x = (c[known] * max(1, p["vocabulary"].n) + w[known]).astype(np.uint64)
-            i = p["successors"].find(x)
-            start, end = p["pointers"].at(c[known]).astype(np.int64), p["pointers"].at(c[known] + 1).astype(np.int64)
-            out[known] = np.where((i >= start) & (i < end), i, -1)
+            i = p["successors"].find((c[known] * max(1, p["vocabulary"].n) + w[known]).astype(np.uint64))
+            out[known] = np.where((i >= start[known]) & (i < end[known]), i, -1)
         return out

@@ -35,6 +35,8 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bits of a successor's hash that are sent.
 SHORT = np.uint64(24)
 HOT_SHARE = 4096
+#: Words whose hashes a worker process remembers; all three passes look them up.
+TABLE = 1_000_000
 SHARD = [("dest", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("docs", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]
 SHARD_DDL = "dest int, n long, total long, docs long, words binary, counts binary"
 ASKED = [("dest", pa.int32()), ("batch", pa.int32()), ("words", pa.binary()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("successors", pa.binary()), ("seen", pa.binary())]
@@ -68,7 +70,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
         for doc_ids, texts in text_slices(batches):
             learn = [t for i, t in zip(doc_ids.to_pylist(), texts, strict=True) if not is_held_out(i)]
             n_docs += len(learn)
-            held.append(hashed(learn, lower=True)[0])
+            held.append(hashed(learn, lower=True, most=TABLE)[0])
             size += len(held[-1])
             if size > 1_500_000:
                 yield out()
@@ -95,30 +97,32 @@ class Requests:
     def __init__(self, table: pa.Table, hot: np.ndarray, buckets: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids, self.batch = table["doc_id"], table["batch"][0].as_py()
-        flat, counts = hashed(table["text"].to_pylist(), lower=True)
+        flat, counts = hashed(table["text"].to_pylist(), lower=True, most=TABLE)
         self.held = np.array([is_held_out(i) for i in self.doc_ids.to_pylist()])
         ends = np.cumsum(counts)
-        # Each document as its words and an end mark; contexts as a begin mark and its words.
-        self.tokens, contexts = np.insert(flat, ends, END), np.insert(flat, ends - counts, BEGIN)
+        # Each document is its words and an end mark; its contexts are a begin mark and its words.
         self.counts = counts + 1
         words, of = np.unique(flat, return_inverse=True)
-        order = np.argsort(bucket(words, buckets), kind="stable")
-        self.words, self.dest = words[order], bucket(words, buckets)[order]
+        n = len(words)
+        dest = bucket(words, buckets)
+        order = np.argsort(dest, kind="stable")
+        self.words, self.dest = words[order], dest[order]
+        back = np.empty(n + 1, np.int64)
+        back[order], back[n] = np.arange(n), -1
+        token, context = np.insert(of, ends, n), np.insert(of, ends - counts, n)
+        self.of_word, self.of_context = back[token], back[context]
+        # Distinct pairs come in the order of their contexts' and successors' hashes.
+        pairs, of_pair, first = *np.unique(context * (n + 1) + token, return_inverse=True), np.append(words, BEGIN)
+        c, short = pairs // (n + 1), np.append(words, END)[pairs % (n + 1)] >> SHORT
+        dest = np.append(dest, 0)[c]
+        spread = np.isin(first, hot)[c]
+        dest[spread] = bucket(first[c[spread]] ^ mix(short[spread]), buckets)
+        order = np.argsort(dest, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.of_word = np.insert(back[of], ends, -1)
-        self.of_context = np.insert(back[of], ends - counts, -1)
-        short = self.tokens >> SHORT
-        spread = np.isin(contexts, hot)
-        dest = np.where(spread, bucket(contexts ^ mix(short), buckets), bucket(contexts, buckets))
-        order = np.lexsort((short, contexts, dest))
-        keys = np.stack([dest[order].astype(np.uint64), contexts[order], short[order]])
-        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])
-        group = np.cumsum(new) - 1
-        self.of_pair = np.empty(len(order), np.int64)
-        self.of_pair[order] = group
-        self.pair_dest, self.context, self.successor = keys[0, new].astype(np.int64), keys[1, new], keys[2, new]
-        self.seen = np.bincount(group, (~np.repeat(self.held, self.counts))[order]).astype(np.int64)
+        self.of_pair = back[of_pair]
+        self.pair_dest, self.context, self.successor = dest[order], first[c[order]], short[order]
+        self.seen = np.bincount(self.of_pair, ~np.repeat(self.held, self.counts), len(order)).astype(np.int64)
 
     def sent(self) -> list[tuple]:
         words = dict(pack(self.dest, [self.words]))
@@ -147,7 +151,44 @@ def restore(codes: np.ndarray, low: float, step: float) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (low + step * (codes.astype(np.float64) - 1)), 0.0)
 
 
-def lm_scores(docs: DataFrame, mu: float = 100.0, docs_per_batch: int = 1024) -> DataFrame:
+def answer_bucket(asked: pa.Table, shard: pa.Table, hot: np.ndarray, hot_counts: dict[int, int], mu: float) -> pa.Table:
+    """One bucket's shard of the trie from the counts in all requests, and the answers to them."""
+    if not asked.num_rows:
+        return rows(TOLD, [])
+    dest = asked["dest"][0].as_py()
+    words = np.frombuffer(shard["words"][0].as_py(), np.uint64) if shard.num_rows else np.zeros(0, np.uint64)
+    counts = np.frombuffer(shard["counts"][0].as_py(), np.int64) if shard.num_rows else np.zeros(0, np.int64)
+    get = lambda name, width: [from_planes(x, width) for x in asked[name].to_pylist()]
+    contexts, sizes = np.concatenate(get("contexts", 8)), np.concatenate(get("sizes", 4)).astype(np.int64)
+    successors, seen = get("successors", 5), get("seen", 4)
+    v, w, c = np.repeat(contexts, sizes), np.concatenate(successors), np.concatenate(seen).astype(np.int64)
+    v, w, c = v[c > 0], w[c > 0], c[c > 0]
+    order = np.lexsort((w, v))
+    v, w, c = v[order], w[order], c[order]
+    new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, bool)
+    joint = np.bincount(np.cumsum(new) - 1, c).astype(np.float64) if len(v) else np.zeros(0)
+    v, w = v[new], w[new]
+    with tempfile.TemporaryDirectory() as folder:
+        first = EliasFano.of(words)
+        first.save(Path(folder), "words")
+        first = EliasFano.load(Path(folder), "words")
+        known = lambda x: np.where((i := first.find(x)) >= 0, counts[np.maximum(i, 0)] if len(counts) else 0, 0)
+        heads, of = np.unique(v, return_inverse=True)
+        head_counts = known(heads)
+        for k in np.flatnonzero(np.isin(heads, hot)):
+            head_counts[k] = hot_counts[int(heads[k])]
+        codes, low, step = quantise(joint / (head_counts[of] + mu))
+        trie = Trie.build(Path(folder), v, w, codes)
+        asked_words = get("words", 8)
+        found = trie.find(contexts, np.concatenate(successors), sizes)
+        hit = np.where(found >= 0, trie.codes[np.maximum(found, 0)] if len(trie.codes) else 0, 0).astype(np.uint8)
+        seen_words = known(np.concatenate(asked_words))
+        cut = lambda x, parts: np.split(x, np.cumsum([len(p) for p in parts])[:-1])
+        out = [(b, dest, planes(n, 5), h.tobytes(), low, step) for b, n, h in zip(asked["batch"].to_pylist(), cut(seen_words, asked_words), cut(hit, successors), strict=True)]
+        return rows(TOLD, out)
+
+
+def lm_scores(docs: DataFrame, mu: float = 100.0, docs_per_batch: int = 2048) -> DataFrame:
     """docs(doc_id, text) to one row of scores for each row; learns from rows whose crc32(doc_id) mod 10 isn't 0."""
     spark = docs.sparkSession
     buckets = buckets_for(spark)
@@ -174,38 +215,7 @@ def lm_scores(docs: DataFrame, mu: float = 100.0, docs_per_batch: int = 1024) ->
         return rows(ASKED, Requests(table, shared.value[0], buckets).sent())
 
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return rows(TOLD, [])
-        dest = asked["dest"][0].as_py()
-        words = np.frombuffer(shard["words"][0].as_py(), np.uint64) if shard.num_rows else np.zeros(0, np.uint64)
-        counts = np.frombuffer(shard["counts"][0].as_py(), np.int64) if shard.num_rows else np.zeros(0, np.int64)
-        get = lambda name, width: [from_planes(x, width) for x in asked[name].to_pylist()]
-        contexts = [np.repeat(c, n.astype(np.int64)) for c, n in zip(get("contexts", 8), get("sizes", 4), strict=True)]
-        successors, seen = get("successors", 5), get("seen", 4)
-        v, w, c = np.concatenate(contexts), np.concatenate(successors), np.concatenate(seen).astype(np.int64)
-        v, w, c = v[c > 0], w[c > 0], c[c > 0]
-        order = np.lexsort((w, v))
-        v, w, c = v[order], w[order], c[order]
-        new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, bool)
-        joint = np.bincount(np.cumsum(new) - 1, c).astype(np.float64) if len(v) else np.zeros(0)
-        v, w = v[new], w[new]
-        with tempfile.TemporaryDirectory() as folder:
-            first = EliasFano.of(words)
-            first.save(Path(folder), "words")
-            first = EliasFano.load(Path(folder), "words")
-            known = lambda x: np.where((i := first.find(x)) >= 0, counts[np.maximum(i, 0)] if len(counts) else 0, 0)
-            heads, of = np.unique(v, return_inverse=True)
-            head_counts = known(heads)
-            for k in np.flatnonzero(np.isin(heads, shared.value[0])):
-                head_counts[k] = shared.value[1][int(heads[k])]
-            codes, low, step = quantise(joint / (head_counts[of] + mu))
-            trie = Trie.build(Path(folder), v, w, codes)
-            out = []
-            for b, asked_words, cs, ss in zip(asked["batch"].to_pylist(), get("words", 8), contexts, successors, strict=True):
-                i = trie.find(cs, ss)
-                hit = np.where(i >= 0, trie.codes[np.maximum(i, 0)] if len(trie.codes) else 0, 0).astype(np.uint8)
-                out.append((b, dest, planes(known(asked_words), 5), hit.tobytes(), low, step))
-            return rows(TOLD, out)
+        return answer_bucket(asked, shard, *shared.value, mu)
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -7,6 +7,7 @@ bytes.split() separates.
 from __future__ import annotations
 
 import functools
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ RIGHT = np.uint64(0xC2B2AE3D27D4EB4F)
 class WordHashes(dict):
     """Word to hash; emptied when it passes `most` words, so memory is bounded."""
 
-    most = 400_000
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -33,9 +36,9 @@ class WordHashes(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
+def word_hashes(most: int) -> WordHashes:
     """One table for each worker process."""
-    return WordHashes()
+    return WordHashes(most)
 
 
 def split_words(text: str | None, lower: bool) -> list[bytes]:
@@ -43,11 +46,11 @@ def split_words(text: str | None, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def hashed(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[str | None], lower: bool, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts, one behind another, and the number of words of each text."""
-    find, per_text = word_hashes().__getitem__, [split_words(t, lower) for t in texts]
+    find, per_text = word_hashes(most).__getitem__, [split_words(t, lower) for t in texts]
     counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-    flat = np.fromiter((h for words in per_text for h in map(find, words)), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(find, chain.from_iterable(per_text)), np.uint64, int(counts.sum()))
     return flat, counts
 
 
