@@ -73,7 +73,7 @@ class ChunkEncoder:
     def _learn(self, new: list[str], first: int) -> None:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, made), np.int64, len(made))
-        ids = np.fromiter((i for e in made for i in e), np.uint32, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
         n = len(new)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
