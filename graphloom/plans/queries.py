@@ -566,6 +566,36 @@ def merged_ranges(spark, sf_dir):
     return changes.merged_ranges(own)
 
 
+# The same over all rows of part: the queries above take the rows that their SQL takes
+
+ALL_RANGES = "ranges AS (SELECT concat('part/', p_brand) AS f, CAST(p_partkey % 1000 AS BIGINT) AS a, CAST(p_partkey % 1000 + 3 AS BIGINT) AS b FROM part)"
+
+
+def all_ranges(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    return part.select(F.concat(F.lit("part/"), "p_brand").alias("file_path"), (F.col("p_partkey") % 1000).alias("line_start"), (F.col("p_partkey") % 1000 + 3).alias("line_end"))
+
+
+@query(f"{GRAPH}, {ALL_RANGES}, {HIT} SELECT qualified_name FROM hit")
+def changed_nodes_overlap_all(spark, sf_dir):
+    return changes.changed_nodes(graph(spark, sf_dir), all_ranges(spark, sf_dir)).where("kind <> 'File'").select("qualified_name")
+
+
+@query(f"{GRAPH}, {ALL_RANGES}, c AS (SELECT DISTINCT f, a AS line FROM ranges), r AS (SELECT line, n.*, row_number() OVER (PARTITION BY f, line ORDER BY line_end - line_start, qualified_name) r FROM nodes n JOIN c ON f = file_path AND line BETWEEN line_start AND line_end) SELECT file_path, line, qualified_name FROM r WHERE r = 1")
+def node_at_cursor_all(spark, sf_dir):
+    cursors = all_ranges(spark, sf_dir).select("file_path", F.col("line_start").alias("line")).distinct()
+    return changes.node_at(graph(spark, sf_dir), cursors).select("file_path", "line", "qualified_name")
+
+
+@query("""WITH r AS (SELECT concat('part/', p_brand) f, CAST(p_partkey % 1000 AS BIGINT) a, CAST(p_partkey % 1000 + p_size AS BIGINT) b FROM part),
+  m AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY f ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM r),
+  i AS (SELECT *, sum(new) OVER (PARTITION BY f ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT f AS file_path, min(a) AS line_start, max(b) AS line_end FROM i GROUP BY f, island""")
+def merged_ranges_all(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    own = part.select(F.concat(F.lit("part/"), "p_brand").alias("file_path"), (F.col("p_partkey") % 1000).alias("line_start"), (F.col("p_partkey") % 1000 + F.col("p_size")).alias("line_end"))
+    return changes.merged_ranges(own)
+
+
 RISK = f"""calls AS (SELECT target q, count(*) n FROM edges WHERE kind = 'CALLS' GROUP BY 1), tests AS (SELECT source q, count(*) n FROM edges WHERE kind = 'TESTED_BY' GROUP BY 1),
   crossing AS (SELECT t.qualified_name q, count(DISTINCT e.source) n FROM edges e JOIN nodes s ON s.qualified_name = e.source JOIN nodes t ON t.qualified_name = e.target WHERE e.kind = 'CALLS' AND s.community_id <> t.community_id GROUP BY 1),
   risks AS (SELECT h.qualified_name, round(least(coalesce(x.n, 0) * 0.05::DOUBLE, 0.15::DOUBLE) + (0.3::DOUBLE - least(coalesce(t.n, 0) / 5, 1) * 0.25::DOUBLE) + CASE WHEN regexp_matches(lower(h.name || ' ' || h.qualified_name), {SECURE}) THEN 0.2::DOUBLE ELSE 0 END + least(coalesce(c.n, 0) / 20, 0.1::DOUBLE), 4) AS risk_score FROM picked h LEFT JOIN calls c ON c.q = h.qualified_name LEFT JOIN tests t ON t.q = h.qualified_name LEFT JOIN crossing x ON x.q = h.qualified_name)"""
@@ -582,6 +612,11 @@ def review_priorities(spark, sf_dir):
     return changes.analyze(graph(spark, sf_dir), ranges(spark, sf_dir))["priorities"].select("qualified_name", "risk_score")
 
 
+@query(f"{GRAPH}, {ALL_RANGES}, {HIT}, picked AS (SELECT * FROM hit), {RISK} SELECT qualified_name, risk_score FROM risks ORDER BY risk_score DESC, qualified_name LIMIT 10")
+def review_priorities_all(spark, sf_dir):
+    return changes.analyze(graph(spark, sf_dir), all_ranges(spark, sf_dir))["priorities"].select("qualified_name", "risk_score")
+
+
 @query(f"{GRAPH} {GAPS}")
 def test_gaps(spark, sf_dir):
     g = graph(spark, sf_dir)
