@@ -889,3 +889,38 @@ def search_mrr(spark, sf_dir):
 def precision_recall(spark, sf_dir):
     g = graph(spark, sf_dir)
     return summaries.precision_recall(g.nodes.where("community_id = 1"), g.of_kind("CALLS"), "file_path")
+
+
+# The queries above that take one kind of nodes or an empty old state, over everything
+
+
+def quoted(c: str) -> str:
+    return f"replace(replace({c}, '\\', '\\\\'), '''', '\\''')"
+
+
+@query(f"""{GRAPH} SELECT 1 AS part, 'CREATE (:' || kind || ' {{qualified_name: ''' || {quoted("qualified_name")} || ''', name: ''' || {quoted("name")} || '''}});' AS value FROM nodes
+  UNION ALL SELECT 2, 'MATCH (a {{qualified_name: ''' || {quoted("source")} || '''}}), (b {{qualified_name: ''' || {quoted("target")} || '''}}) CREATE (a)-[:' || kind || ']->(b);' FROM edges""")
+def cypher_export_all(spark, sf_dir):
+    return exports.cypher_rows(graph(spark, sf_dir)).select("part", "value")
+
+
+@query(f"{GRAPH} SELECT qualified_name, list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g')), '[_\\-.\\s]+'), lambda x: x <> '')::VARCHAR AS words FROM nodes")
+def split_names_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.nodes.select("qualified_name", F.concat(F.lit("["), F.array_join(T.split_name(F.col("name")), ", "), F.lit("]")).alias("words"))
+
+
+@query(f"{GRAPH} SELECT qualified_name, split_part(qualified_name, '::', 1) AS file, list_filter(string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/'), lambda s: length(s) >= 4)::VARCHAR AS segments FROM nodes")
+def path_functions_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.nodes.select("qualified_name", T.file_of(F.col("qualified_name")).alias("file"), F.concat(F.lit("["), F.array_join(T.path_segments(F.col("file_path")), ", "), F.lit("]")).alias("segments"))
+
+
+@query("SELECT user_id, arg_max(event_type, (event_id % 2, ts, event_id)) AS event_type, bool_or(event_id % 2 = 0) AS known FROM events GROUP BY user_id")
+def upsert_latest_halves(spark, sf_dir):
+    """The state of the even events, replaced by that of the odd ones where they have one; known tells who had a state before."""
+    events = tables.read(spark, sf_dir, "events")
+    order = [F.desc("ts"), F.desc("event_id")]
+    old = store.latest(events.limit(0), events.where("event_id % 2 = 0"), ["user_id"], order)
+    merged = store.latest(old, events.where("event_id % 2 = 1"), ["user_id"], order)
+    return merged.join(old.select("user_id", F.lit(True).alias("known")), "user_id", "left").select("user_id", "event_type", F.coalesce("known", F.lit(False)).alias("known"))
