@@ -34,7 +34,6 @@ SCOPES = frozenset("table ul ol dl select body html article section div main".sp
 NO_TEXT = frozenset("head script style noscript template nav footer aside form button select option iframe svg canvas object audio video menu dialog textarea title math xmp noembed noframes".split())
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|sidebar|side|widget|menu|menubar|nav|navbar|navigation|breadcrumb\w*|pagination|pager|comment|comments|commentlist|disqus|replies|respond|footer|masthead|topbar|toolbar|popup|modal|overlay|paywall|search|login|complementary|contentinfo|disclaimer)(?:$|[\s_-])", re.I)
 SITE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|site-header|page-header)(?:$|[\s_-])", re.I)
-TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dd dt figcaption caption summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 #: The share of the standard deviation that a path's fused ratio has to reach.
 THRESHOLD = 0.4
@@ -183,7 +182,7 @@ def main_text(page: str) -> str:
     if len(kept) == 1 and len(chain) > 1:
         chain = chain[:-1]
     inside = lambda n: n.chain[: len(chain)] == chain
-    return " ".join(n.text for n, c in zip(nodes, chosen, strict=True) if c or inside(n) and n.tag in TEXT_TAGS and n.linked < 0.5)
+    return " ".join(n.text for n, c in zip(nodes, chosen, strict=True) if c or inside(n))
 
 
 def extract(pages: DataFrame) -> DataFrame:
