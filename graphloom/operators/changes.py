@@ -82,10 +82,9 @@ def analyze(graph: Graph, ranges: DataFrame, steps: DataFrame | None = None, chu
     """The parts of a change report: changed functions with their risk, priorities, gaps, affected flows and a summary."""
     hit = changed_nodes(graph, ranges).where("kind <> 'File'")
     scored = risk(graph, hit, churn=churn)
-    files = [r.file_path for r in hit.select("file_path").distinct().limit(most).collect()]
     parts = {"changed": scored.orderBy(F.desc("risk_score"), "qualified_name").limit(most), "priorities": scored.orderBy(F.desc("risk_score"), "qualified_name").limit(10), "gaps": test_gaps(graph, hit)}
     if steps is not None:
-        parts["flows"] = affected_flows(graph, steps, files)
+        parts["flows"] = affected_flows(graph, steps, hit.select("file_path").distinct())
     parts["summary"] = scored.agg(F.count("*").alias("changed"), F.max("risk_score").alias("risk"), F.countDistinct("file_path").alias("files"))
     return parts
 

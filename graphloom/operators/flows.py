@@ -89,9 +89,10 @@ def flow_by_id(graph: Graph, flow_table: DataFrame, flow_id: int, max_steps: int
     return steps.join(graph.nodes, steps.node == graph.nodes.qualified_name).orderBy("position").limit(max_steps)
 
 
-def affected_flows(graph: Graph, steps: DataFrame, files: list[str]) -> DataFrame:
-    """Flows that pass a node of the changed files."""
-    touched = graph.nodes.where(F.col("file_path").isin(files)).select(F.col("qualified_name").alias("node"))
+def affected_flows(graph: Graph, steps: DataFrame, files: list[str] | DataFrame) -> DataFrame:
+    """Flows that pass a node of the changed files, a list or a DataFrame(file_path) of any length."""
+    own = graph.nodes.join(files, "file_path", "left_semi") if isinstance(files, DataFrame) else graph.nodes.where(F.col("file_path").isin(files))
+    touched = own.select(F.col("qualified_name").alias("node"))
     hit = steps.join(touched, "node", "left_semi").select("entry").distinct()
     return flows(graph, steps.join(hit, "entry", "left_semi"), limit=None)
 
