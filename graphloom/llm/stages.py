@@ -1,7 +1,8 @@
 """The operators as stages over documents: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 All but the last return the columns of documents. A row that is kept is returned once; rows with a null doc_id or text
-are kept by every stage, and an empty table stays empty.
+are kept by every stage but reject_toxic_and_copies, which leaves one row of equal texts without id, and an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -22,6 +23,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(score(F.col("text").cast("string")) < TOXIC)
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of each repeated (doc_id, text), and of equal texts without doc_id one; rows without text stay."""
+    return docs.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("text IS NULL"))
+
+
+def reject_toxic_and_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's first stage: later ones would keep rows that repeat, and cut every copy of their text."""
+    return drop_copies(reject_toxic(spark, docs, sf_dir))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
