@@ -5,7 +5,7 @@ and a list of merges. Decoding goes from ids to bytes by a table, and from bytes
 between two ids put together again.
 
 Results at the edges: a null text is empty and has no ids; a null doc_id is kept; repeated rows are encoded each on
-their own; an empty table gives no rows; further columns are ignored; ids whose bytes are no valid UTF-8 decode to
+their own; very long texts are encoded whole; an empty table gives no rows; further columns are ignored; ids whose bytes are no valid UTF-8 decode to
 those bytes, and as text to U+FFFD for the bad ones.
 """
 

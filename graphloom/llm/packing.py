@@ -7,7 +7,8 @@ that any group has about `group_docs` documents of all kinds, and one hot source
 lengths and checksums go through the exchange, no ids.
 
 Results at the edges: a null text is empty and has its end id only; rows with equal doc_id are packed each on its own;
-a null doc_id is kept; an empty table gives no rows; further columns are ignored; a very long document has many whole
+a null doc_id is kept; pieces of equal length go in the order of doc_id, start, doc_tokens and checksum; an empty table
+gives no rows; further columns are ignored; a very long document has many whole
 pieces and one last piece, all in its group.
 """
 

@@ -1,6 +1,7 @@
 """The operators as stages over documents: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All but the last return the columns of documents. A row that is kept is returned once; rows with a null doc_id or text
+All but the last return the columns of documents. A row that is kept is returned once.
+Very long texts go through every stage whole, and ties go by the smallest doc_id. Rows with a null doc_id or text
 are kept by every stage but reject_toxic_and_copies, which leaves one row of equal texts without id, and an empty table
 stays empty.
 """

@@ -5,7 +5,8 @@ doc_id order, and each stripe's minimum and maximum, and its Bloom filter, let a
 Files are split between stripes by Spark's reader, so one large file is read by many tasks.
 
 Results at the edges: a null text is empty (its only id is the end id); a null doc_id sorts first; rows with equal
-doc_id are all written, next to each other; an empty table gives no rows; further columns are ignored.
+doc_id are all written, next to each other, ordered by text (null first); very long texts are encoded whole; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             )
             before += int(offsets[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, STORED)
         .write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")

@@ -18,8 +18,9 @@ from graphloom.llm.common import gather
 
 #: White space as the tokenizers' patterns have it (fixed values of Unicode's White_Space property).
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters and ASCII punctuation between which every pattern here begins a new token (fixed values of Unicode).
-LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
+#: Letters and ASCII punctuation between which every pattern here begins a new token (fixed values of Unicode). U+0130
+#: is left out: in lower case it ends in a combining mark, which joins the punctuation behind it.
+LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u02c1"
 MARKS, FIRST_MARKS = r"!-/:-@\[-`{-~", r"!-&(-/:-@\[-`{-~"
 
 
@@ -32,13 +33,13 @@ def chunk_pattern(before: str, spaces: bool) -> re.Pattern:
 CHUNK, WORD_CHUNK = chunk_pattern(" ?", True), chunk_pattern("", False)
 
 
-def load(path: str):
-    """A tokenizer that takes the strings of special tokens for ordinary text."""
+def load(path: str, ordinary: bool = False):
+    """The tokenizer as the library reads it; ordinary: one that takes the strings of added tokens for ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = ordinary
     return made
 
 
@@ -56,11 +57,17 @@ class Numbers(dict):
 
 
 class ChunkEncoder:
-    """Texts to ids. When the table of chunks passes `most` entries it keeps those of the last slice, so it is bounded."""
+    """Texts to ids. When the table of chunks passes `most` entries it keeps those of the last slice, so it is bounded.
 
-    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000, folds: bool = False):
-        """folds: the tokenizer takes lower case, so ASCII texts are lowered before chunks are looked up."""
-        self.tokenizer, self.chunks, self.most, self.folds = tokenizer, chunks, most, folds
+    A text that holds the string of an added token goes to the library whole, which finds added tokens before it splits.
+    """
+
+    def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000, folds: bool = False, whole=None):
+        """tokenizer takes the strings of added tokens for ordinary text, whole (if any) for tokens; folds: both take lower
+        case, so ASCII texts are lowered before chunks are looked up."""
+        self.tokenizer, self.chunks, self.most, self.folds, self.whole = tokenizer, chunks, most, folds, whole
+        added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()] if whole else []
+        self.added = re.compile("|".join(added), re.I) if added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -95,6 +102,17 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind another, and the number of ids of each text."""
+        special = [k for k, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not special:
+            return self._by_chunks(texts)
+        others = set(special)
+        ids, counts = self._by_chunks([t for k, t in enumerate(texts) if k not in others])
+        parts = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+        for k in special:
+            parts.insert(k, np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32))
+        return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _by_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.folds:
             texts = [t.lower() if t.isascii() else t for t in texts]
         per_text = [self.chunks.findall(t) for t in texts]
@@ -114,7 +132,7 @@ class ChunkEncoder:
 @functools.lru_cache(maxsize=4)
 def encoder_for(path: str, chunks: re.Pattern = CHUNK) -> ChunkEncoder:
     """One encoder for each worker process, so its table outlives a task."""
-    return ChunkEncoder(load(path), chunks, folds=chunks == WORD_CHUNK)
+    return ChunkEncoder(load(path, ordinary=True), chunks, folds=chunks == WORD_CHUNK, whole=load(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

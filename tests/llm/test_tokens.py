@@ -7,15 +7,21 @@ import pytest
 from conftest_helpers import collected
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from graphloom.llm import byte_bpe, packing, token_files, tokens
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
 
+def encoder_of(name, chunks, most):
+    path = P.path(name)
+    return tokens.ChunkEncoder(tokens.load(path, ordinary=True), chunks, most, folds=chunks is tokens.WORD_CHUNK, whole=tokens.load(path))
+
+
 @pytest.mark.parametrize(("name", "chunks"), [("word_bpe_49k.json", tokens.WORD_CHUNK), ("byte_bpe_50k.json", tokens.CHUNK)])
 def test_chunks_give_the_ids_of_whole_texts(name, chunks):
-    whole, encoder = tokens.load(P.path(name)), tokens.ChunkEncoder(tokens.load(P.path(name)), chunks, most=50, folds=chunks is tokens.WORD_CHUNK)
+    whole, encoder = Tokenizer.from_file(P.path(name)), encoder_of(name, chunks, 50)
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\x0b\x85\xa0 \x1c'.,!1aZéßĳΣ́क日😀-_"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
@@ -27,11 +33,36 @@ def test_chunks_give_the_ids_of_whole_texts(name, chunks):
     check()
 
 
+KINDS = [("word_bpe_49k.json", tokens.WORD_CHUNK), ("byte_bpe_50k.json", tokens.CHUNK)]
+
+
+@pytest.mark.parametrize(("name", "chunks"), KINDS)
+@pytest.mark.parametrize("form", ["a{}.", "'{}a", " {} 1{}"])
+def test_every_code_point_at_the_borders_of_chunks(name, chunks, form):
+    whole, encoder = Tokenizer.from_file(P.path(name)), encoder_of(name, chunks, 10_000)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c >= 0xF900 and c < 0x1F700 or c % 97 == 0)]
+    for start in range(0, len(points), 20_000):
+        texts = [form.replace("{}", chr(c)) for c in points[start : start + 20_000]]
+        ids, counts = encoder(texts)
+        expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for x in expected for i in x]
+
+
+@pytest.mark.parametrize(("name", "chunks"), KINDS)
+def test_the_strings_of_added_tokens_are_what_the_library_makes_of_them(name, chunks):
+    texts = ["hello <|endoftext|> world", "a  b", "", "<|endoftext|>", "1<|ENDOFTEXT|> İ.", "x<|startoftext|><|endoftext|>  y ", "c d"]
+    whole, encoder = Tokenizer.from_file(P.path(name)), encoder_of(name, chunks, 1000)
+    for part in (texts, texts[:1], texts[3:5], texts[1:3]):
+        ids, counts = encoder(part)
+        expected = [whole.encode(t, add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for x in expected for i in x]
+
+
 def test_token_files(spark, docs, no_docs, edge_rows, tmp_path):
     path = str(tmp_path / "orc")
     token_files.write_token_files(docs, path, P.path("word_bpe_49k.json"))
     found = token_files.digest(spark, path).orderBy("start").collect()
-    whole, start = tokens.load(P.path("word_bpe_49k.json")), 0
+    whole, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
     for row, (doc_id, text, *_) in zip(found, sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = whole.encode(text or "", add_special_tokens=False).ids + [2]
         assert tuple(row) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -80,7 +111,7 @@ def test_first_fit_decreasing(sizes):
 
 def test_packing(docs, no_docs, edge_rows):
     found = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), length=256, group_docs=4).collect()
-    whole = tokens.load(P.path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     expected = []
     for doc_id, text, *_ in edge_rows:
         ids = whole.encode(text or "", add_special_tokens=False).ids + [1]
