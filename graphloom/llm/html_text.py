@@ -1,13 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a sequence of text nodes, each with its tag path from the root. For each path the text length and the
-punctuation are summed over its nodes and divided by their number; both ratios are smoothed along the page, multiplied,
-and the paths whose fused ratio reaches a share of the page's standard deviation are content. The text is what stands in
-the element that holds the content paths, without the parts that are boilerplate by their tag, class, id or role.
+A page becomes a sequence of text nodes, each with its tag path from the root (tags with their classes). For each path
+the text length (what stands in links counts LINKED of it) and the punctuation are summed over its nodes and divided by
+their number. Both ratios are smoothed along the page, a neighbour counting the less the fewer elements it shares, and
+fused by multiplying them. The fused ratios add up in the elements: from the body the content root is found by going
+down to the child that holds SHARE of its element's sum, as far as there is one that isn't a block of running text.
+
+A path's score is its fused ratio over the mean of the content root, a quarter of it for each element by which it stands
+outside; what stands inside has 1 instead, or 0 in a list of links. Elements of the root's own tag path (told by a class,
+or sections and articles), and a first heading right before it, belong to it. Nodes whose score reaches 1 are content: so
+headings, short paragraphs and tables of the content element stay, and long paragraphs elsewhere do too.
+
+What the tag or a whole name in class, id or role marks as boilerplate (menus, footers, adverts, comments, forms, scripts)
+takes no part at all; a name counts if all its words, cut at hyphens and underscores, are boilerplate words.
 
 Results at the edges: a null or empty html gives an empty text and 0 characters; a page without any content path, too;
-a null page_id or url is kept; repeated rows are read each on their own; an empty table gives no rows; broken markup is
-read as far as it goes (a tag without end is text-free to the end of the page); very long pages are read whole.
+a null page_id or url is kept; repeated rows are read each on their own; of elements that hold equal sums the first on
+the page is taken; an empty table gives no rows; further columns are ignored; broken markup is read as far as it goes (a
+tag without end is text-free to the end of the page); very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -30,27 +40,37 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl select body html article section div main".split())
-#: Elements that are no article text wherever they stand, and names in class, id or role that say the same.
+#: Elements that are no article text wherever they stand.
 NO_TEXT = frozenset("head script style noscript template nav footer aside form button select option iframe svg canvas object audio video menu dialog textarea title math xmp noembed noframes".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|sidebar|side|widget|menu|menubar|nav|navbar|navigation|breadcrumb\w*|pagination|pager|comment|comments|commentlist|disqus|replies|respond|footer|masthead|topbar|toolbar|popup|modal|overlay|paywall|search|login|complementary|contentinfo|disclaimer)(?:$|[\s_-])", re.I)
-SITE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|site-header|page-header)(?:$|[\s_-])", re.I)
+#: Words of names in class, id or role that say the same, alone or with each other, and words that may stand beside them.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter"
+    " subscribe subscription signup share sharing sidebar widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments"
+    " commentlist disqus replies respond footer masthead topbar toolbar popup modal overlay paywall login complementary contentinfo disclaimer related".split()
+)
+BESIDE = frozenset("site page main top bottom left right box block area list item items wrapper wrap container section bar buttons links social post posts form message slot inner outer primary secondary global header the".split())
+SITE_HEADER = frozenset("header".split())
+#: Blocks of running text, into which the content root doesn't go down, nor below an article; and the parts of tables.
+RUNNING = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption caption address details summary hgroup article".split())
+TABLE = frozenset("table thead tbody tfoot tr".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
-#: The share of the standard deviation that a path's fused ratio has to reach.
-THRESHOLD = 0.4
+#: What a character in a link counts, the share of its element's sum that a content root holds, and what is left of a
+#: ratio for each element by which two nodes, or a node and the content root, are apart.
+LINKED, SHARE, APART = 0.05, 0.6, 0.25
 
 
 class Node:
     """A run of text in one block: its elements (numbered from the root), tag path and text."""
 
-    __slots__ = ("chain", "path", "tag", "text", "linked", "plain")
+    __slots__ = ("chain", "tags", "path", "text", "linked", "plain")
 
-    def __init__(self, chain, path, tag, text, linked, plain):
-        self.chain, self.path, self.tag, self.text, self.linked, self.plain = chain, path, tag, text, linked, plain
+    def __init__(self, chain, tags, path, text, linked, plain):
+        self.chain, self.tags, self.path, self.text, self.linked, self.plain = chain, tags, path, text, linked, plain
 
 
 def text_nodes(page: str) -> list[Node]:
     """The blocks of text of a page, in page order; a block ends at each block element's begin or end and at <br>."""
-    stack: list[tuple[str, int, bool]] = [("", 0, True)]  # tag, number, whether its text may be content
+    stack: list[tuple[str, int, bool, str]] = [("", 0, True, "")]  # tag, number, whether its text may be content, label
     out: list[Node] = []
     parts: list[str] = []
     links = [0, 0]  # characters in this block, and of them in links
@@ -62,7 +82,7 @@ def text_nodes(page: str) -> list[Node]:
             text = " ".join("".join(parts).split())
             if text:
                 blocks = [s for s in stack if s[0] not in INLINE]
-                out.append(Node(tuple(s[1] for s in blocks), "/".join(s[0] for s in blocks), blocks[-1][0], text, links[1] / max(1, links[0]), stack[-1][2]))
+                out.append(Node(tuple(s[1] for s in blocks), tuple(s[0] for s in blocks), "/".join(s[3] for s in blocks), text, links[1] / max(1, links[0]), stack[-1][2]))
             parts, links = [], [0, 0]
 
     def say(raw: str) -> None:
@@ -120,7 +140,9 @@ def text_nodes(page: str) -> list[Node]:
         if tag not in INLINE:
             flush()
         number += 1
-        stack.append((tag, number, stack[-1][2] and _may_be_content(tag, m[3], stack)))
+        names = _names(m[3]) if m[3] else ()
+        label = ".".join([tag, *sorted(v for n, v in names if n == "class")]) if names else tag
+        stack.append((tag, number, stack[-1][2] and _may_be_content(tag, names, stack), label))
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             stack.pop()
         elif tag in RAW:
@@ -132,57 +154,118 @@ def text_nodes(page: str) -> list[Node]:
     return out
 
 
-def _may_be_content(tag: str, attributes: str, stack: list) -> bool:
+def _names(attributes: str) -> list[tuple[str, str]]:
+    """The words of class, id and role, and what hides an element."""
+    out = []
+    for a in ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        if name in ("class", "id", "role"):
+            out += [(name, v) for v in value.split()]
+        elif name == "aria-hidden" and value == "true":
+            out.append(("hidden", ""))
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
+        out.append(("hidden", ""))
+    return out
+
+
+def _may_be_content(tag: str, names: list[tuple[str, str]], stack: list) -> bool:
     if tag in NO_TEXT:
         return False
     inside = any(s[0] in ("article", "main") for s in stack)
     if tag == "header":
         return inside
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for a in ATTRIBUTE.finditer(attributes):
-            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-            if name in ("class", "id", "role") and (BOILERPLATE.search(value) or not inside and SITE_HEADER.search(value)):
-                return False
-            if name == "aria-hidden" and value == "true":
+    if tag not in ("html", "body", "article", "main"):
+        for kind, value in names:
+            words = re.split(r"[-_]+|\d+$", value)
+            words = {w for w in words if w}
+            if kind == "hidden" or words & BOILERPLATE and words <= BOILERPLATE | BESIDE or not inside and words & SITE_HEADER and words <= SITE_HEADER | BESIDE:
                 return False
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
-            return False
     return True
 
 
-def smooth(x: np.ndarray) -> np.ndarray:
-    """A Gaussian over five neighbours."""
-    weights = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    return np.convolve(np.pad(x, 2, "edge"), weights / weights.sum(), "valid")
+def common(a: tuple, b: tuple) -> int:
+    """How many elements two chains share."""
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def path_scores(nodes: list[Node]) -> np.ndarray:
+def smooth(x: np.ndarray, nodes: list[Node]) -> np.ndarray:
+    """A Gaussian over five neighbours, less for those that are apart."""
+    up, down = np.zeros(len(x)), np.zeros(len(x))
+    for d in range(-2, 3):
+        near = np.exp(-0.5 * d * d)
+        for i in range(max(0, -d), min(len(x), len(x) - d)):
+            w = near if not d else near * APART ** max(0, max(len(nodes[i].chain), len(nodes[i + d].chain)) - 1 - common(nodes[i].chain, nodes[i + d].chain))
+            up[i] += w * x[i + d]
+            down[i] += w
+    return up / down
+
+
+def path_ratios(nodes: list[Node]) -> np.ndarray:
     """The fused ratio of each node's path."""
     paths = {p: k for k, p in enumerate(dict.fromkeys(n.path for n in nodes))}
     of = np.array([paths[n.path] for n in nodes])
     count = np.bincount(of)
-    length = np.bincount(of, [len(n.text) * (1 - n.linked) for n in nodes]) / count
+    length = np.bincount(of, [len(n.text) * (1 - (1 - LINKED) * n.linked) for n in nodes]) / count
     marks = np.bincount(of, [len(PUNCTUATION.findall(n.text)) + 0.5 for n in nodes]) / count
-    fused = smooth(length[of]) * smooth(marks[of])
+    fused = smooth(length[of], nodes) * smooth(marks[of], nodes)
     return (np.bincount(of, fused) / count)[of]
 
 
+def content_root(nodes: list[Node], ratios: np.ndarray) -> tuple:
+    """The elements from the root to the one that holds the content."""
+    tags = {e: t for n in nodes for e, t in zip(n.chain, n.tags, strict=True)}
+    left, chain = np.arange(len(nodes)), (0,)
+    while tags[chain[-1]] != "article":
+        sums: dict[int, float] = {}
+        for i in left:
+            if len(nodes[i].chain) > len(chain):
+                e = nodes[i].chain[len(chain)]
+                sums[e] = sums.get(e, 0.0) + ratios[i]
+        best = max(sums, key=sums.get, default=None)
+        if best is None or sums[best] < SHARE * ratios[left].sum() or tags[best] in RUNNING - {"article"}:
+            break
+        inner = np.array([i for i in left if nodes[i].chain[: len(chain) + 1] == (*chain, best)])
+        if tags[best] in ("td", "th") and all(len(nodes[i].chain) == len(chain) + 1 for i in inner):
+            break  # a cell of data, not of layout
+        chain, left = (*chain, best), inner
+    while tags[chain[-1]] in TABLE:
+        chain = chain[:-1]
+    return chain
+
+
+def path_scores(nodes: list[Node]) -> np.ndarray:
+    """The score of each node; those from 1 on are content."""
+    ratios = path_ratios(nodes)
+    chain = content_root(nodes, ratios)
+    apart = np.array([len(chain) - common(n.chain, chain) for n in nodes])
+    first = int(np.argmin(apart))
+    labels = nodes[first].path.split("/")[: len(chain)]
+    if "." in labels[-1] or labels[-1] in ("section", "article"):
+        # Elements of the same tag path belong together.
+        apart[[n.path.split("/")[: len(chain)] == labels for n in nodes]] = 0
+    if first and "h1" in nodes[first - 1].tags and not any("h1" in n.tags for n, a in zip(nodes, apart, strict=True) if not a):
+        apart[first - 1] = 0  # the title right before it
+    inside = apart == 0
+    # A list of links: all items of one list, or all nodes of one path, none with running text.
+    lists: dict = {}
+    for i, n in enumerate(nodes):
+        k = next((k for k in range(len(n.tags) - 1, 0, -1) if n.tags[k] in ("ul", "ol", "dl", "table")), None)
+        lists.setdefault(n.chain[: k + 1] if k else n.path, []).append(i)
+    links = np.zeros(len(nodes))
+    for group in lists.values():
+        if len(group) > 2:
+            total = sum(len(nodes[i].text) for i in group)
+            links[group] = sum(len(nodes[i].text) * nodes[i].linked for i in group) / total > 0.9
+    mean = max(1e-9, float(ratios[inside].mean()))
+    return ratios / mean * APART**apart * (apart > 0) + inside * (1 - links)
+
+
 def main_text(page: str) -> str:
     nodes = [n for n in text_nodes(page) if n.plain]
     if not nodes:
         return ""
-    score = path_scores(nodes)
-    chosen = score >= THRESHOLD * score.std()
-    # The element that holds the content: the one common to the chosen nodes, heavy paths first.
-    kept = [n for n, c in zip(nodes, chosen, strict=True) if c]
-    chain = kept[0].chain
-    for n in kept[1:]:
-        k = next((k for k, (a, b) in enumerate(zip(chain, n.chain, strict=False)) if a != b), min(len(chain), len(n.chain)))
-        chain = chain[:k]
-    if len(kept) == 1 and len(chain) > 1:
-        chain = chain[:-1]
-    inside = lambda n: n.chain[: len(chain)] == chain
-    return " ".join(n.text for n, c in zip(nodes, chosen, strict=True) if c or inside(n))
+    return " ".join(n.text for n, s in zip(nodes, path_scores(nodes), strict=True) if s >= 1)
 
 
 def extract(pages: DataFrame) -> DataFrame:
