@@ -43,7 +43,7 @@ def op8_packing(spark, sf_dir):
 
 
 def op9_gif(spark, sf_dir):
-    return gif.digest(gif.store_texts(table(spark, sf_dir, "documents")))
+    return gif.media_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_html_text(spark, sf_dir):

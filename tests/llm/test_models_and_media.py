@@ -142,13 +142,36 @@ def lzw_encode(samples, low):
     return bytes(out)
 
 
-@pytest.mark.parametrize("low", [2, 4, 8])
+def lzw_plain(data, low):
+    """A decoder that reads bit by bit and keeps its strings as lists."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, out, at = 1 << low, [], 0
+    table, width, previous = {}, low + 1, None
+    while True:
+        code, at = int(bits[at : at + width][::-1], 2), at + width
+        if code == clear:
+            table, width, previous = {i: [i] for i in range(clear)}, low + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        string = table[code] if code in table else [*previous, previous[0]]
+        out += string
+        if previous is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = [*previous, string[0]]
+        previous = string
+        width = min(12, max(low + 1, (len(table) + 2).bit_length()))
+
+
+@pytest.mark.parametrize("low", [2, 4, 7, 8])
 @pytest.mark.parametrize("n", [1, 50, 3000, 60_000])
 def test_lzw(low, n):
     rng = np.random.default_rng(n)
     for samples in (rng.integers(0, 1 << low, n), np.zeros(n, int), np.arange(n) // 7 % (1 << low)):
         data = lzw_encode(samples.tolist(), low)
         assert gif.lzw_decode(data, low, n).tolist() == samples.tolist()
+        own = gif.lzw_encode(bytes(samples.tolist()), low)
+        assert own == data  # the plain encoder's stream, bit by bit
+        assert lzw_plain(own, low) == samples.tolist()
 
 
 def test_frames_with_disposal_transparency_and_local_palette():
@@ -182,10 +205,37 @@ def test_stored_texts(docs, no_docs, edge_rows):
         raw = (text or "").encode()
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    long_ = gif.frames(media.where("doc_id = 10")).first().frames
+        assert r.media_bytes == len(m := gif.encode_gif(gif.payload_of(text or "")[1])) and r.media_sha256 == hashlib.sha256(m).hexdigest()
+        canvas, histogram, n = np.zeros((256, 192), np.uint8), np.zeros(4, int), -(-len(payload) // (192 * 256))
+        for k in range(0, len(payload), 192 * 256):
+            part = np.frombuffer(payload[k : k + 192 * 256], np.uint8).reshape(-1, 192)
+            canvas[: len(part)] = part
+            histogram += np.bincount((canvas if k or len(payload) > 192 * 256 else part).reshape(-1) >> 6, minlength=4)
+        assert r.feature == f"frames={n};ms={40 * n};colours=" + ",".join(f"{21 * c}:{x}" for c, x in enumerate(histogram) if x)
+    long_ = gif.frames(media.where("doc_id = 10")).orderBy("index").collect()
     assert len(long_) > 1 and b"".join(f.samples for f in long_).decode().strip() == next(t for i, t, *_ in edge_rows if i == 10)
     assert sum(long_[0].histogram) == 192 * 256
-    assert gif.digest(gif.store_texts(no_docs)).count() == 0
+    decoded = {(r.doc_id, r["index"]): r for r in gif.frames(media.where("doc_id is not null")).collect()}
+    for r in media.where("doc_id is not null").collect():
+        for f in r.frames:
+            d = decoded[r.doc_id, f["index"]]
+            assert all(f[x] == d[x] for x in ("delay_ms", "width", "height", "disposal", "transparent", "histogram")) or r.doc_id == 41
+    assert gif.media_digest(no_docs).count() == 0
+
+
+def test_repeated_rows_are_transparent_and_prose_shrinks():
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)).decode() for _ in range(400)]
+    prose = " ".join(rng.choice(words, 12_000))
+    samples = gif.payload_of(prose)[1]
+    assert len(gif.encode_gif(samples)) < 0.7 * len(samples)
+    rows = samples[: 192 * 256].copy()
+    media = gif.encode_gif(np.concatenate([rows, rows[: 192 * 100], samples[: 192 * 3] ^ 1]))
+    found = list(gif.decode_gif(media))
+    assert [f.transparent for f in found] == [None, 127] and [f.disposal for f in found] == [1, 2]
+    assert found[1].canvas[:103, :, 0].tobytes() == rows[: 192 * 100].tobytes() + (samples[: 192 * 3] ^ 1).tobytes()
+    assert (found[1].samples[:100] == 127).all()
+    assert gif._read_back(media)[0] == 192 * 359
 
 
 # HTML
