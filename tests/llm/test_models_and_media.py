@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest_helpers import collected
 
@@ -83,14 +84,14 @@ def test_nearest_neighbours(spark):
     rows += [(1000 + i, rows[5][1]) for i in range(300)] + [(2000, [0.0] * 8), (2050, None), (2100, [float("nan")] + [1.0] * 7), (2150, [float("inf")] + [1.0] * 7), (2200, [None] + [1.0] * 7), (100, rows[100][1])]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<float>, tree int, leaf int")
     expected = brute_neighbours(dict(rows).items(), 5, 50)
-    found = sorted(tuple(r) for r in ann.search(df, sample=400, probes=60, block=16).collect())
+    found = sorted(tuple(r)[:4] for r in ann.search(df, sample=400, effort=8.0, block=16).collect())
     assert {(q, r) for q, r, *_ in found} == {(q, r) for q, r, *_ in expected}
     hits = {(q, i) for q, _, i, _ in found} & {(q, i) for q, _, i, _ in expected}
     assert len(hits) >= 0.9 * len(expected)
     scores = {(q, i): s for q, _, i, s in expected}
     assert all(abs(scores.get((q, i), s) - s) < 1e-12 for q, _, i, s in found)
     # Probing all leaves finds exactly the neighbours, with ties to the smaller id.
-    exact = sorted(tuple(r) for r in ann.search(df, sample=400, probes=10_000, block=16).collect())
+    exact = sorted(tuple(r) for r in ann.search(df, sample=400, effort=1e6, block=16).collect())
     assert [x[:3] for x in exact] == [x[:3] for x in expected]
 
 
@@ -101,6 +102,36 @@ def test_few_vectors(spark):
     assert ann.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_double_components_of_any_size(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-50, 1e-50]), (50, [1.0, 0.0]), (2, [0.1, 0.3]), (3, [-1e-200, 1e-201]), (4, [1e300, -1.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    unit = {i: np.array(v) / np.max(np.abs(v)) for i, v in rows}
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    for q in (0, 50):
+        expected = sorted((-cosine(unit[q], unit[i]), i) for i in unit if i != q)
+        # Vectors 0 and 1 have one direction; their scores may differ in the last bit.
+        assert [max(r.vec_id, 1) for r in found if r.query_id == q] == [max(i, 1) for _, i in expected]
+        assert np.allclose([r.score for r in found if r.query_id == q], [-s for s, _ in expected], atol=1e-15)
+
+
+def test_the_share_compared_falls_with_the_table(spark):
+    rng, shares = np.random.default_rng(4), []
+    for n in (1500, 6000, 24_000):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+        found = ann.search(df, every=n // 30).collect()
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hits = total = 0
+        for q in range(0, n, n // 30):
+            near = x @ x[q]
+            near[q] = -2
+            hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-near)[:5].tolist()))
+            total += 5
+        assert hits >= 0.9 * total
+        shares.append(np.mean([r.compared for r in found]) / n)
+    assert shares[0] > 1.3 * shares[1] > 1.69 * shares[2]
+
+
 # GIF
 
 
