@@ -9,7 +9,7 @@ least; these are ranked again by the exact cosine. The exponent is below 1, so t
 compared with falls with its size N; how much is needed for a recall of 0.9 was measured on vectors without structure.
 
 Equal vectors are searched once and stand for their smallest ids, as many as can appear in a result; a leaf with more
-than `block` distinct vectors is dealt out in blocks, so no task gets an unbounded group; eight small neighbouring leaves
+than `block` distinct vectors is dealt out in blocks, so no task gets an unbounded group; sixteen small neighbouring leaves
 share a task's group, so a query is sent less often than it has leaves.
 
 Results at the edges: vectors that are null, zero, or hold null or non-finite components, and vectors of another length
@@ -115,7 +115,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 #: How many neighbouring leaves share a group.
-TOGETHER = 8
+TOGETHER = 16
 
 
 def forest_of(distinct: DataFrame, n: int, trees: int, leaf: int, sample: int, seed: int) -> tuple[list[Tree], int]:
@@ -196,7 +196,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, lea
 
     dealt = distinct.select("rep", "embedding").mapInArrow(deal, f"tree int, grp long, part int, leaf int, rep long, embedding array<{kind}>")
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    questions = asked.select("rep", "embedding").dropDuplicates(["rep"]).repartition(spread, "rep").mapInArrow(ask, f"tree int, grp long, part int, asked long, q array<{kind}>, leaves array<int>, compared long")
+    questions = asked.select("rep", "embedding").dropDuplicates(["rep"]).repartition(spread, F.xxhash64("rep")).mapInArrow(ask, f"tree int, grp long, part int, asked long, q array<{kind}>, leaves array<int>, compared long")
 
     def rank(questions: pa.Table, leaf_rows: pa.Table) -> pa.Table:
         result = pa.schema([("asked", pa.int64()), ("rep", pa.int64()), ("score", pa.float64()), ("compared", pa.int64())])
@@ -206,24 +206,27 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, lea
         order = np.argsort(leaves, kind="stable")
         rows, reps, leaves = matrix(leaf_rows["embedding"])[order], leaf_rows["rep"].to_numpy()[order], leaves[order]
         unit_rows, qs, asked_, n_rows = unit(rows), matrix(questions["q"]), questions["asked"].to_numpy(), questions["compared"].to_numpy()
-        unit_qs = unit(qs)
-        wants: dict[int, list[int]] = {}
-        for i, own in enumerate(questions["leaves"].to_pylist()):
-            for x in own:
-                wants.setdefault(x, []).append(i)
-        for x, who in wants.items():
-            start, end = np.searchsorted(leaves, [x, x + 1])
-            for part in (who[s : s + 256] for s in range(0, len(who), 256) if end > start):
-                near = unit_qs[part] @ unit_rows[start:end].T
-                n_top = min(end - start, 4 * (k + 1))
-                least = np.partition(near, end - start - n_top, axis=1)[:, end - start - n_top]
-                for i, own, edge in zip(part, near, least, strict=True):
-                    # Ties at the edge of the rough choice stay in.
-                    columns = start + np.flatnonzero(own >= edge - 1e-6)
-                    score = cosines(qs[i : i + 1], rows[columns])
-                    best = np.lexsort((reps[columns], -score))[: k + 1]
-                    out.append((np.full(len(best), asked_[i]), reps[columns][best], score[best], np.full(len(best), n_rows[i])))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=result) if out else result.empty_table()
+        unit_qs, wanted = unit(qs), questions["leaves"].to_pylist()
+        for s in range(0, len(qs), 256):
+            near = np.full((len(qs[s : s + 256]), len(rows)), -2, np.float32)
+            wants: dict[int, list[int]] = {}
+            for i, own in enumerate(wanted[s : s + 256]):
+                for x in own:
+                    wants.setdefault(x, []).append(i)
+            for x, who in wants.items():
+                start, end = np.searchsorted(leaves, [x, x + 1])
+                near[who, start:end] = unit_qs[s : s + 256][who] @ unit_rows[start:end].T
+            n_top = min(len(rows), 4 * (k + 1))
+            edge = np.partition(near, len(rows) - n_top, axis=1)[:, len(rows) - n_top]
+            # Ties at the edge of the rough choice stay in.
+            i, j = np.nonzero((near >= edge[:, None] - 1e-6) & (near > -2))
+            score = cosines(qs[s + i], rows[j])
+            order = np.lexsort((reps[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, score = i[place <= k], j[place <= k], score[place <= k]
+            out.append((asked_[s + i], reps[j], score, n_rows[s + i]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=result)
 
     keys = ["tree", "grp", "part"]
     found = questions.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(rank, "asked long, rep long, score double, compared long")
