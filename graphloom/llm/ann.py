@@ -9,8 +9,8 @@ least; these are ranked again by the exact cosine. The exponent is below 1, so t
 compared with falls with its size N; how much is needed for a recall of 0.9 was measured on vectors without structure.
 
 Equal vectors are searched once and stand for their smallest ids, as many as can appear in a result; a leaf with more
-than `block` distinct vectors is dealt out in blocks, so no task gets an unbounded group; sixteen small neighbouring leaves
-share a task's group, so a query is sent less often than it has leaves.
+than `block` distinct vectors is dealt out in blocks, so no task gets an unbounded group; small neighbouring leaves share
+a group of about that many, so a query is sent less often than it has leaves.
 
 Results at the edges: vectors that are null, zero, or hold null or non-finite components, and vectors of another length
 than most of the sample, take no part; a null id takes no part; rows with equal id and vector count once; equal scores
@@ -114,10 +114,6 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-#: How many neighbouring leaves share a group.
-TOGETHER = 16
-
-
 def forest_of(distinct: DataFrame, n: int, trees: int, leaf: int, sample: int, seed: int) -> tuple[list[Tree], int]:
     """The forest, and the length of most vectors of the sample."""
     cut = int(min(1.0, sample / n) * (1 << 30))
@@ -164,6 +160,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, lea
         sizes[r.tree][r.leaf] = r.n
     held = spark.sparkContext.broadcast(sizes)
     rows_wanted = effort * n**growth
+    # So many neighbouring leaves share a group that it has about `block` rows.
+    together = max(1, block * sum(tree.leaves for tree in made) // (trees * n))
 
     def deal(batches):
         for b in batches:
@@ -173,7 +171,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, lea
                     leaves = tree.assign(unit_rows)
                     blocks = -(-held.value[t][leaves] // block)
                     part = np.where(blocks > 1, (reps % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64), 0)
-                    group = np.where(blocks > 1, leaves * TOGETHER, leaves // TOGETHER * TOGETHER + 1)
+                    group = np.where(blocks > 1, 2 * leaves, leaves // together * 2 + 1)
                     columns = [np.full(b.num_rows, t, np.int32), group.astype(np.int64), part.astype(np.int32), leaves.astype(np.int32)]
                     yield pa.record_batch([*map(pa.array, columns), b.column(0), b.column(1)], ["tree", "grp", "part", "leaf", "rep", "embedding"])
 
@@ -188,7 +186,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 20, lea
                     for t, x in pairs:
                         blocks = -(-int(held.value[t][x]) // block)
                         for part in range(max(1, blocks)):
-                            groups.setdefault((t, x * TOGETHER if blocks > 1 else x // TOGETHER * TOGETHER + 1, part), []).append(x)
+                            groups.setdefault((t, 2 * x if blocks > 1 else x // together * 2 + 1, part), []).append(x)
                     t, group, part = zip(*groups, strict=True)
                     n_rows = sum(int(held.value[a][x]) for a, x in pairs)
                     at = pa.array([i] * len(groups))
