@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -34,9 +38,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def buckets_for(spark: SparkSession, per_partition: int = 4) -> int:
-    """How many hash buckets a packed exchange uses: a multiple of the shuffle partitions, which follow the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
+def buckets_for(docs: DataFrame, chars: int = 4 << 20) -> int:
+    """How many hash buckets a packed exchange of the words of docs(text) uses, so that each gets about as many words as
+    so many characters have."""
+    total = docs.select(F.sum(F.length(F.col("text").cast("string"))).alias("n")).first().n or 0
+    return max(1, -(-total // chars))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.Array, list[str]]]:

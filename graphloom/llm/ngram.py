@@ -191,7 +191,7 @@ def answer_bucket(asked: pa.Table, shard: pa.Table, hot: np.ndarray, hot_counts:
 def lm_scores(docs: DataFrame, mu: float = 100.0, docs_per_batch: int = 2048) -> DataFrame:
     """docs(doc_id, text) to one row of scores for each row; learns from rows whose crc32(doc_id) mod 10 isn't 0."""
     spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    buckets = buckets_for(docs)
     shards = durable(count_words(docs, buckets))
     sums = shards.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("docs").alias("docs")).first()
     n_docs = int(sums.docs or 0)

@@ -3,6 +3,7 @@ import random
 from test_pipeline import corpus  # noqa: F401
 
 import corpus_pipeline
+from graphloom.llm import stages
 
 
 def test_one_row_of_each_copy_keeps_its_text(spark, corpus):  # noqa: F811
@@ -18,3 +19,12 @@ def test_one_row_of_each_copy_keeps_its_text(spark, corpus):  # noqa: F811
     found = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id > 9000]
     expected = [(9001, a), (None, b), (9002, c), (None, d)] + [(None, None)] * 2 + [(9003, None)] * 2
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_copies_with_clashing_and_odd_columns(spark):
+    rows = [(1, "t u v", {"a": 1}, 5, "x"), (1, "t u v", {"b": 2}, 4, "y"), (2, "t u v", None, 1, None), (None, "t u v", None, 1, "z"), (None, "t u v", None, 1, "z"), (3, None, None, 0, "a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, digest map<string,int>, whole int, id string")
+    found = [stages.drop_copies(docs.repartition(n)) for n in (1, 5)]
+    assert all(f.columns == docs.columns and f.schema.simpleString() == docs.schema.simpleString() for f in found)
+    a, b = (sorted(map(tuple, f.collect()), key=repr) for f in found)
+    assert a == b and sorted((r[0], r[1]) for r in a if r[0]) == [(1, "t u v"), (2, "t u v"), (3, None)] and len(a) == 4
