@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents and repeated rows go, one of each group of near-duplicates stays, repeated passages are removed,
+"""The corpus pipeline: toxic documents go, one row of each group of near-duplicates stays, repeated passages are removed,
 and what is left is packed. Each stage's result is written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from graphloom.llm import stages
 from graphloom.llm.common import shared_folder, table
 
 STAGES = [
-    ("toxicity", stages.reject_toxic_and_copies),
+    ("toxicity", stages.reject_toxic),
     ("minhash", stages.drop_near_duplicates),
     ("substring", stages.remove_passages),
     ("packing", stages.pack),
