@@ -116,11 +116,18 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def splittable(one: DataFrame, key: str) -> DataFrame:
+    """An aggregate by a whole number, made ready to be joined by it to many rows: the key is computed anew, so the join
+    has an exchange of its own on both sides, and adaptive execution can split the part of a hot key. Without it, the
+    join would take over the aggregate's partitions as they are."""
+    return one.withColumn(key, F.expr(f"{key} ^ 0L"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to node, component (the smallest node reachable), by alternating large and small stars.
 
-    Each round is cut off in the checkpoint folder. A hub's edges meet its minimum by an aggregate and a join; the
-    aggregate is written first, so that the join has an exchange on both sides and a hub's part of it can be split.
+    Each round is cut off in the checkpoint folder. A hub's edges meet its minimum by an aggregate and a join that can be
+    split.
     """
 
     def directed(e: DataFrame) -> DataFrame:
@@ -133,10 +140,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(down, "u")
+        least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(splittable(down, "u"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
         after = mark(edges)
@@ -191,14 +198,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int =
 
     exploded = durable(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "n")
-    # What is joined to a hot key's rows is written first, so that the join can split them.
-    shared = durable(shared)
-    members = durable(exploded.join(shared, "key"))
+    members = durable(exploded.join(splittable(shared, "key"), "key"))
     central = members.groupBy("rep").agg(F.sum("n").alias("central"))
     ranked = members.join(central, "rep")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("central", -F.col("rep"), "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
-    leaders = durable(leaders)
-    stars = durable(members.join(leaders, "key").where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct())
+    stars = durable(members.join(splittable(leaders, "key"), "key").where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct())
     # The texts of all candidates, once; every comparison reads them from here.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = durable(texts.join(central.select(F.col("rep").alias("id")), "id", "left_semi"))
@@ -209,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int =
     placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = placed.groupBy("key", "c").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("main"))
-    placed = durable(placed.join(durable(main), "key").groupBy(F.col("rep").alias("id"), "c").agg(F.max(F.col("c") != F.col("main")).alias("out")))
+    placed = durable(placed.join(splittable(main, "key"), "key").groupBy(F.col("rep").alias("id"), "c").agg(F.max(F.col("c") != F.col("main")).alias("out")))
     across = durable(prefix_pairs(placed, texts, words, percent).join(stars, ["a", "b"], "left_anti"))
     further = durable(verify(across, texts, words, percent))
     if not further.isEmpty():

@@ -16,6 +16,8 @@ from graphloom.llm import minhash, packing, substring, toxicity
 from graphloom.llm.common import durable, table
 
 TOXIC = 0.3
+#: Keys of repeated rows up to which they are broadcast, some 100 bytes each; beyond, the join is by exchange.
+FEW = 100_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +36,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again"))
     # Of rows that differ in other columns the one with the least hash of their plain values.
     plain = [F.col(f"whole.`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    if again.count() <= FEW:
+        again = F.broadcast(again)
     first = keyed.join(again, same, "left_semi").groupBy("id", "digest").agg(F.min_by("whole", F.xxhash64(*plain)).alias("whole"))
     kept = keyed.join(again, same, "left_anti").select("whole").unionAll(first.select("whole"))
     return kept.select("whole.*").unionAll(docs.where("text IS NULL"))
