@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie made of them, in files that are memory-mapped."""
+"""Elias-Fano sequences and an n-gram trie made of them, in files that are memory-mapped."""
 
 from __future__ import annotations
 
@@ -55,8 +55,9 @@ class EliasFano:
         word = np.minimum(word, len(self.high) - 1)
         return word * 64 + _select(~self.high[word], k - self.zeros[word].astype(np.int64))
 
-    def _place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each x the index of the first number that isn't smaller (n if none), and whether it equals x."""
+    def _place(self, x: np.ndarray, first: np.ndarray | int = 0, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the index of the first number from `first` to `behind` that isn't smaller (behind if none), and
+        whether it equals x. The search stays in that range."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         up = x >> np.uint64(self.low_bits)
@@ -64,8 +65,9 @@ class EliasFano:
         beyond = up > last
         up = np.minimum(up, last).astype(np.int64)
         start = np.where(up > 0, self._zero(np.maximum(up - 1, 0)) - (up - 1), 0)
-        start = np.minimum(start, self.n)
-        limit = np.minimum(self._zero(up) - up, self.n)
+        stop = np.full(len(x), self.n) if behind is None else behind
+        start = np.clip(start, first, stop)
+        limit = np.clip(self._zero(up) - up, start, stop)
         end = limit.copy()
         low = x & np.uint64((1 << self.low_bits) - 1)
         while (open_ := np.flatnonzero(start < end)).size:
@@ -76,7 +78,7 @@ class EliasFano:
         # All numbers below limit here have x's high bits.
         same = (start < limit) & ~beyond
         same[same] = self._low(start[same]) == low[same]
-        return np.where(beyond, self.n, start), same
+        return np.where(beyond, stop, start), same
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         return self._place(x)[0]
@@ -88,9 +90,9 @@ class EliasFano:
         place = word * 64 + _select(self.high[word], i - ones[word])
         return (place - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """For each x its index, or -1."""
-        i, same = self._place(x)
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, behind: np.ndarray | None = None) -> np.ndarray:
+        """For each x its index, or -1, searched from `first` to `behind`."""
+        i, same = self._place(x, first, behind)
         return np.where(same, i, -1)
 
     def save(self, folder: Path, name: str) -> None:
@@ -105,43 +107,56 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts and their successors.
-
-    contexts: the hashes of the contexts, ascending; pointers: where each context's successors begin; vocabulary: the
-    hashes of all successors here, by whose rank a successor is named; successors: these names, ascending within each
-    context, made one ascending sequence by the context's rank; codes: a quantised probability for each successor.
+    """Nodes of n-grams by levels. contexts: the hashes of the first words, ascending. Of each further level k: pointers,
+    where the children of each node of the level above begin; vocabulary, the hashes of all last words there, by whose
+    rank a child is named; successors, these names, ascending among the children of a node, each added to the largest
+    number of the children before, so that the level is one ascending sequence; codes, a quantised probability, and
+    weights, a quantised back-off weight (none on the last level), of each node.
     """
 
-    PARTS = ("contexts", "pointers", "vocabulary", "successors")
+    def __init__(self, contexts: EliasFano, levels: list[dict]):
+        self.contexts, self.levels = contexts, levels
 
-    def __init__(self, parts: dict[str, EliasFano], codes: np.ndarray):
-        self.parts, self.codes = parts, codes
+    @classmethod
+    def build(cls, folder: Path, contexts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
+        """levels: parents (indexes of the level above, ascending), last words, codes, weights, in the order of parents and
+        words; written to folder and mapped from there."""
+        EliasFano.of(contexts).save(folder, "contexts")
+        above = len(contexts)
+        for k, (parent, word, codes, weights) in enumerate(levels, 2):
+            vocabulary = np.unique(word)
+            rank = np.searchsorted(vocabulary, word).astype(np.uint64)
+            pointers = np.searchsorted(parent, np.arange(above + 1))
+            # The largest rank of each parent's children, and one, moves all that come behind.
+            full = np.flatnonzero(np.diff(pointers))
+            step = np.zeros(above + 1, np.uint64)
+            step[full + 1] = rank[pointers[full + 1] - 1] + ONE
+            for name, values in (("pointers", pointers), ("vocabulary", vocabulary), ("successors", rank + np.cumsum(step)[parent])):
+                EliasFano.of(values).save(folder, f"{name}{k}")
+            np.save(folder / f"codes{k}.npy", codes)
+            np.save(folder / f"weights{k}.npy", weights)
+            above = len(parent)
+        return cls.load(folder, len(levels))
 
     @classmethod
-    def build(cls, folder: Path, context: np.ndarray, successor: np.ndarray, codes: np.ndarray) -> Trie:
-        """From pairs that are sorted by context and successor, each once; written to folder and mapped from there."""
-        contexts, first = np.unique(context, return_index=True)
-        vocabulary = np.unique(successor)
-        rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(context))))
-        names = (rank * max(1, len(vocabulary)) + np.searchsorted(vocabulary, successor)).astype(np.uint64)
-        for name, values in zip(cls.PARTS, (contexts, np.append(first, len(context)), vocabulary, names), strict=True):
-            EliasFano.of(values).save(folder, name)
-        np.save(folder / "codes.npy", codes)
-        return cls({name: EliasFano.load(folder, name) for name in cls.PARTS}, np.load(folder / "codes.npy", mmap_mode="r"))
-
-    def find(self, context: np.ndarray, successor: np.ndarray, repeats: np.ndarray | None = None) -> np.ndarray:
-        """For each pair its index, or -1: the context's range, then the successor's place in it. With repeats, each
-        context stands for so many successors."""
-        p = self.parts
-        repeats = np.ones(len(context), np.int64) if repeats is None else repeats
-        c = p["contexts"].find(context)
-        start, end = (p["pointers"].at(np.maximum(c, 0) + k).astype(np.int64) if p["contexts"].n else c for k in (0, 1))
-        words, of = np.unique(successor, return_inverse=True)
-        w = p["vocabulary"].find(words)[of]
-        c, start, end = (np.repeat(x, repeats) for x in (c, start, end))
-        out = np.full(len(c), -1, np.int64)
-        known = np.flatnonzero((c >= 0) & (w >= 0))
-        if known.size:
-            i = p["successors"].find((c[known] * max(1, p["vocabulary"].n) + w[known]).astype(np.uint64))
-            out[known] = np.where((i >= start[known]) & (i < end[known]), i, -1)
+    def load(cls, folder: Path, levels: int) -> Trie:
+        parts = lambda k: {n: EliasFano.load(folder, f"{n}{k}") for n in ("pointers", "vocabulary", "successors")} | {n: np.load(folder / f"{n}{k}.npy", mmap_mode="r") for n in ("codes", "weights")}
+        return cls(EliasFano.load(folder, "contexts"), [parts(k) for k in range(2, levels + 2)])
+
+    def find(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """For each parent (an index of the level above, or -1) and last word the node's index, or -1: the word's rank,
+        relative to what stands before the parent's children, searched among these alone."""
+        p, out = self.levels[level - 2], np.full(len(parent), -1, np.int64)
+        words, of = np.unique(word, return_inverse=True)
+        rank = p["vocabulary"].find(words)[of]
+        asked = np.flatnonzero((parent >= 0) & (rank >= 0))
+        if asked.size:
+            start, end = (p["pointers"].at(parent[asked] + k).astype(np.int64) for k in (0, 1))
+            before = np.where(start > 0, p["successors"].at(np.maximum(start - 1, 0)) + ONE, np.uint64(0))
+            out[asked] = p["successors"].find(before + rank[asked].astype(np.uint64), start, end)
         return out
+
+    def values(self, level: int, name: str, nodes: np.ndarray, missing: int) -> np.ndarray:
+        """codes or weights of nodes; -1 gives what is missing."""
+        stored = self.levels[level - 2][name]
+        return np.where(nodes >= 0, stored[np.maximum(nodes, 0)] if len(stored) else missing, missing).astype(np.uint8)

@@ -98,6 +98,44 @@ def with_batches(docs: DataFrame, docs_per_batch: int, carry: list[str] = ()) ->
     return plain.select(F.pmod(key, F.lit(n)).cast("int").alias("batch"), *plain.columns)
 
 
+def with_packed_batches(docs: DataFrame, docs_per_batch: int) -> DataFrame:
+    """documents as (batch, docs): the same groups, each task's rows of a group in one compressed Arrow stream."""
+    n = max(1, -(-docs.count() // docs_per_batch))
+    key = F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text"))
+    plain = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("batch"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= 32 << 20:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    def packed(held):
+        table = pa.Table.from_batches(held).sort_by("batch")
+        of = table["batch"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                sink = pa.BufferOutputStream()
+                part = table.slice(a, b - a).select(["doc_id", "text"]).combine_chunks()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(part)
+                yield pa.record_batch([pa.array([of[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs"])
+
+    return plain.mapInArrow(run, "batch int, docs binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The documents of a group, in an order that depends on them alone."""
+    parts = [pa.ipc.open_stream(d).read_all() for d in table["docs"].to_pylist()]
+    return pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def pack(dest: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, list[np.ndarray]]]:
     """Entries by destination, each destination's in their own order."""
     order = np.argsort(dest, kind="stable")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest_helpers import collected
 
 from graphloom.llm import minhash, ngram, substring
@@ -131,27 +132,66 @@ def test_repeats_of_any_offset(spark):
         assert collected(substring.remove_repeats(df, n, 3, text=False)) == expected
 
 
-def test_lm_scores(docs, no_docs, edge_rows):
+def brute_scores(edge_rows, mu):
+    """The model's scores from plain counts, with the same codes."""
     split = [WORD.findall(lower(t)) + ["END"] for _, t, *_ in edge_rows]
     held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in edge_rows]
-    uni, pairs, contexts = Counter(), Counter(), Counter()
+    grams, contexts = Counter(), Counter()
     for w, h in zip(split, held, strict=True):
+        for k in range(0 if h else len(w)):
+            grams[w[k],] += 1
+            for n in range(1, len(mu) + 1):
+                if k + 1 >= n:
+                    gram = tuple((["BEGIN", *w])[k + 1 - n : k + 2])
+                    grams[gram] += len(gram) > 1
+                    contexts[gram[:-1]] += 1
+    total, distinct = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    decades = math.log10(total + max(mu) + 1)
+    code = lambda x: 10 ** (decades * ((max(1, min(255, 1 + round(254 * (1 + math.log10(x) / decades)))) - 1) / 254 - 1)) if x else 0.0
+    p1 = lambda x: (grams[x,] + 0.1) / (total + 0.1 * (distinct + 1))
+
+    def p(w, h):
         if not h:
-            uni.update(w)
-            pairs.update(zip(["BEGIN", *w], w, strict=False))
-            contexts.update(["BEGIN", *w[:-1]])
-    total, distinct, mu = sum(uni.values()), len(uni), 100.0
-    p1 = lambda x: (uni[x] + 0.1) / (total + 0.1 * (distinct + 1))
-    expected = []
+            return p1(w)
+        m = mu[len(h) - 1]
+        weight = m / (contexts[h] + m)
+        return code(grams[*h, w] / (contexts[h] + m)) + (weight if len(h) == 1 else code(weight)) * p(w, h[1:])
+
+    out = []
     for (i, *_), w, h in zip(edge_rows, split, held, strict=True):
-        full = sum(math.log10((pairs[(v, x)] + mu * p1(x)) / (contexts[v] + mu)) for v, x in zip(["BEGIN", *w], w, strict=False))
-        expected.append((i, h, len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10(p1(x)) for x in w), full))
-    for per_batch in (2, 1000):
-        found = collected(ngram.lm_scores(docs, mu, per_batch))
-        for a, b in zip(found, sorted(expected, key=repr), strict=True):
+        marked = ["BEGIN", *w]
+        full = sum(math.log10(p(x, tuple(marked[max(0, k + 1 - len(mu)) : k + 1]))) for k, x in enumerate(w))
+        out.append((i, h, len(w), sum(grams[x,] > 0 for x in w), total, sum(math.log10(p1(x)) for x in w), full))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("mu", [(100.0,), (100.0, 4.0), (20.0, 3.0, 1.0)])
+def test_lm_scores(spark, docs, no_docs, edge_rows, mu, tmp_path):
+    expected, before = brute_scores(edge_rows, mu), spark.conf.get("spark.sql.shuffle.partitions")
+    ngram.write_model(docs, str(tmp_path / "model"), mu, 5)
+    made = []
+    try:
+        for per_batch, partitions, path in ((2, 2, None), (1000, 16, None), (3, 5, str(tmp_path / "model"))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            made.append(collected(ngram.lm_scores(docs, mu, per_batch, path)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for found in made:
+        for a, b in zip(found, expected, strict=True):
             assert a[:5] == b[:5]
-            assert abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 0.01 * b[2]
-    assert ngram.lm_scores(no_docs).count() == 0
+            assert abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
+    assert ngram.lm_scores(no_docs, mu).count() == 0
+
+
+def test_lm_scores_by_many_buckets(spark, monkeypatch):
+    """Hot contexts that are dealt over many buckets give what one bucket gives."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "a", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(60)))) for i in range(120)]
+    df, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute_scores(rows, (100.0, 4.0))
+    for buckets in (1, 7):
+        monkeypatch.setattr(ngram, "buckets_for", lambda docs, n=buckets: n)
+        found = collected(ngram.lm_scores(df, docs_per_batch=11))
+        assert all(a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-6 for a, b in zip(found, expected, strict=True))
 
 
 def test_model_is_a_distribution():
@@ -175,9 +215,22 @@ def test_elias_fano(tmp_path):
 
 def test_trie(tmp_path):
     rng = np.random.default_rng(4)
-    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (400, 2))})
-    a, b = (np.array(x, np.uint64) << np.uint64(40) for x in zip(*pairs, strict=True))
-    trie = Trie.build(tmp_path, a, b, np.arange(len(a)).astype(np.uint8))
-    x, y = (g.reshape(-1).astype(np.uint64) << np.uint64(40) for g in np.meshgrid(np.arange(62), np.arange(62)))
+    grams = sorted({tuple(g) for g in rng.integers(0, 12, (500, 3)).tolist()})
+    pairs = sorted({g[:2] for g in grams} | {(20, 3), (20, 5)})
+    firsts = sorted({p[0] for p in pairs})
+    wide = lambda x: np.array(x, np.uint64) << np.uint64(40)
+    levels = []
+    for above, nodes in ((firsts, pairs), (pairs, grams)):
+        parent = np.array([above.index(g[:-1] if len(g) > 2 else g[0]) for g in nodes])
+        levels.append((parent, wide([g[-1] for g in nodes]), np.arange(len(nodes)).astype(np.uint8), np.zeros(len(nodes), np.uint8)))
+    trie = Trie.build(tmp_path, wide(firsts), levels)
+    x, y, z = (g.reshape(-1) for g in np.meshgrid(np.arange(22), np.arange(14), np.arange(14)))
+    first = trie.contexts.find(wide(x))
+    assert first.tolist() == [firsts.index(a) if a in firsts else -1 for a in x.tolist()]
+    second = trie.find(2, first, wide(y))
     place = {p: k for k, p in enumerate(pairs)}
-    assert trie.find(x, y).tolist() == [place.get((int(p) >> 40, int(q) >> 40), -1) for p, q in zip(x, y, strict=True)]
+    assert second.tolist() == [place.get(p, -1) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    third = trie.find(3, second, wide(z))
+    place = {g: k for k, g in enumerate(grams)}
+    assert third.tolist() == [place.get(g, -1) for g in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)]
+    assert trie.values(3, "codes", third, 9).tolist() == [(k % 256) if k >= 0 else 9 for k in third.tolist()]
