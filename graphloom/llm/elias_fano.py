@@ -21,11 +21,22 @@ def _select(words: np.ndarray, r: np.ndarray) -> np.ndarray:
     return place.astype(np.int64)
 
 
+#: From a request for this share of the numbers on, the unary part is read through once instead of place by place.
+MANY = 16
+
+
 class EliasFano:
     """An ascending sequence of 64-bit numbers: low bits packed, high bits in unary with counts of zeros to find them."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+        self._places: dict[int, np.ndarray] = {}
+
+    def _all(self, bit: int) -> np.ndarray:
+        """The places of all ones or all zeros of the unary part."""
+        if bit not in self._places:
+            self._places[bit] = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little") == bit)
+        return self._places[bit]
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -51,6 +62,8 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero (from 0) of the unary part."""
+        if len(k) * MANY >= self.n:
+            return self._all(0)[k]
         word = np.searchsorted(self.zeros, k, "right") - 1
         word = np.minimum(word, len(self.high) - 1)
         return word * 64 + _select(~self.high[word], k - self.zeros[word].astype(np.int64))
@@ -85,6 +98,8 @@ class EliasFano:
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The numbers at these indexes."""
+        if len(i) * MANY >= self.n:
+            return (self._all(1)[i] - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
         ones = np.arange(len(self.high) + 1) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, i, "right") - 1
         place = word * 64 + _select(self.high[word], i - ones[word])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import buckets_for, durable, mix, text_slices
 from graphloom.llm.elias_fano import EliasFano, Trie
-from graphloom.llm.words import from_planes, hashed, pack, planes, rows, unpacked, with_packed_batches
+from graphloom.llm.words import from_planes, hashed, loosened, pack, planes, rows, squeezed, unpacked, with_packed_batches
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bytes of a last word's hash that are sent: on the second level, whose contexts may have many, and on the others.
@@ -164,13 +164,13 @@ class Requests:
             a, b = pairs.get(d, (0, 0))
             c = self.context[a:b]
             first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            sizes, successors, seen = [planes(np.diff(np.append(first, len(c))), 4)], [], []
+            sizes, successors, seen = [squeezed(planes(np.diff(np.append(first, len(c))), 4))], [], []
             for k, (last, counts) in enumerate(zip(self.last, self.seen, strict=True)):
                 successors.append(planes(last[a:b], width_of(k + 2)))
-                seen.append(planes(counts[a:b], 4))
+                seen.append(squeezed(planes(counts[a:b], 4)))
                 if k < len(self.children):
                     starts = self.children[k][a : b + 1]
-                    sizes.append(planes(np.diff(starts), 4))
+                    sizes.append(squeezed(planes(np.diff(starts), 4)))
                     a, b = (int(starts[0]), int(starts[-1])) if b > a else (0, 0)
             out.append((d, self.batch, planes(words[d][0], 8) if d in words else b"", planes(c[first], 8), sizes, successors, seen))
         return out
@@ -220,7 +220,8 @@ class Asked:
 
     def __init__(self, table: pa.Table, order: int):
         get = lambda name, width: [from_planes(x, width) for x in table[name].to_pylist()]
-        level = lambda name, k, width: [from_planes(x[k], width) for x in table[name].to_pylist()]
+        columns = {name: table[name].to_pylist() for name in ("sizes", "successors", "seen")}
+        level = lambda name, k, width: [from_planes(x[k] if name == "successors" else loosened(x[k]), width) for x in columns[name]]
         self.batches, self.words = table["batch"].to_pylist(), get("words", 8)
         self.contexts = np.concatenate(get("contexts", 8))
         self.parents, self.last, self.seen, self.lengths = [], [], [], []
@@ -285,9 +286,9 @@ class Shard:
         nodes, codes, weights = self.trie.contexts.find(asked.contexts), [], []
         for k, (parents, last) in enumerate(zip(asked.parents, asked.last, strict=True)):
             nodes = self.trie.find(k + 2, nodes[parents], last)
-            codes.append([x.tobytes() for x in cut(self.trie.values(k + 2, "codes", nodes, 0), asked.lengths[k])])
+            codes.append([squeezed(x.tobytes()) for x in cut(self.trie.values(k + 2, "codes", nodes, 0), asked.lengths[k])])
             if k + 1 < len(asked.last):
-                weights.append([x.tobytes() for x in cut(self.trie.values(k + 2, "weights", nodes, 255), asked.lengths[k])])
+                weights.append([squeezed(x.tobytes()) for x in cut(self.trie.values(k + 2, "weights", nodes, 255), asked.lengths[k])])
         seen = cut(self.known(np.concatenate(asked.words)), [len(x) for x in asked.words])
         return [(b, dest, planes(n, 5), [c[i] for c in codes], [w[i] for w in weights]) for i, (b, n) in enumerate(zip(asked.batches, seen, strict=True))]
 
@@ -319,7 +320,8 @@ def keep_bucket(asked: pa.Table, shard: pa.Table, about: Known) -> pa.Table:
 
 
 def _no_requests(order: int) -> Asked:
-    row = (0, 0, b"", b"", [b""] * (order - 1), [b""] * (order - 1), [b""] * (order - 1))
+    none = [squeezed(b"")] * (order - 1)
+    row = (0, 0, b"", b"", none, [b""] * (order - 1), none)
     return Asked(rows(ASKED, [row]), order)
 
 
@@ -356,7 +358,7 @@ def _counted(docs: DataFrame, mu: tuple[float, ...]) -> tuple[DataFrame, Known]:
     return shards, Known(total, distinct, n_docs, buckets, mu, {r.word & 0xFFFFFFFFFFFFFFFF: r.n for r in found} | {int(BEGIN): n_docs})
 
 
-def write_model(docs: DataFrame, path: str, mu: tuple[float, ...] = (100.0, 4.0), docs_per_batch: int = 4096) -> None:
+def write_model(docs: DataFrame, path: str, mu: tuple[float, ...] = (100.0, 4.0), docs_per_batch: int = 2048) -> None:
     """The model of docs as Parquet files at path, a folder that all executors share: the shards, and what holds for all."""
     spark = docs.sparkSession
     shards, about = _counted(docs, mu)
@@ -373,7 +375,7 @@ def write_model(docs: DataFrame, path: str, mu: tuple[float, ...] = (100.0, 4.0)
     spark.createDataFrame([(json.dumps(vars(about)),)], "about string").coalesce(1).write.parquet(f"{path}/about")
 
 
-def lm_scores(docs: DataFrame, mu: tuple[float, ...] = (100.0, 4.0), docs_per_batch: int = 4096, model: str | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, mu: tuple[float, ...] = (100.0, 4.0), docs_per_batch: int = 2048, model: str | None = None) -> DataFrame:
     """docs(doc_id, text) to one row of scores for each row, by a model of as many orders as mu has values, and one; learns
     from rows whose crc32(doc_id) mod 10 isn't 0, or, with the path of a written model, asks that."""
     spark = docs.sparkSession
@@ -398,7 +400,7 @@ def lm_scores(docs: DataFrame, mu: tuple[float, ...] = (100.0, 4.0), docs_per_ba
             return pa.table(dict(zip(names, (pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), strict=True)))
         own, told = shared.value, told.sort_by("dest")
         r = Requests(table, own.hot, own.buckets, own.order)
-        joined = lambda name, k: own.scale.restore(np.frombuffer(b"".join(x[k] for x in told[name].to_pylist()), np.uint8))
+        joined = lambda name, k: own.scale.restore(np.frombuffer(b"".join(loosened(x[k]) for x in told[name].to_pylist()), np.uint8))
         counts = np.concatenate([from_planes(x, 5) for x in told["counts"].to_pylist()]).astype(np.int64)
         counts = np.append(counts, own.docs)  # index -1: the end mark, and the begin mark as a context
         c = counts[r.of_word]

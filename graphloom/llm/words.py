@@ -12,6 +12,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,14 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def loosened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def gaps(ascending: np.ndarray) -> bytes:
     """Ascending positions below 2^32 by their differences."""
     return planes(np.diff(ascending, prepend=0).astype(np.uint64), 4)
