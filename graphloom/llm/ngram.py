@@ -44,7 +44,7 @@ HOT_SHARE = 4096
 TABLE = 1_000_000
 SHARD = [("dest", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("docs", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]
 SHARD_DDL = "dest int, n long, total long, docs long, words binary, counts binary"
-#: By levels from the second on: how many children each node above has, their last words, their training counts.
+#: A bucket's words are contexts too; contexts has the hot ones beside them. By levels from the second on: how many children each node above has, their last words, their training counts.
 ASKED = [("dest", pa.int32()), ("batch", pa.int32()), ("words", pa.binary()), ("contexts", pa.binary()), ("sizes", pa.list_(pa.binary())), ("successors", pa.list_(pa.binary())), ("seen", pa.list_(pa.binary()))]
 ASKED_DDL = "dest int, batch int, words binary, contexts binary, sizes array<binary>, successors array<binary>, seen array<binary>"
 TOLD = [("batch", pa.int32()), ("dest", pa.int32()), ("counts", pa.binary()), ("codes", pa.list_(pa.binary())), ("weights", pa.list_(pa.binary()))]
@@ -139,11 +139,12 @@ class Requests:
         dest = np.append(dest, 0)[c]
         spread = np.isin(first, hot)[c]
         dest[spread] = bucket(first[c[spread]] ^ mix(short[spread]), buckets)
-        by_dest = np.argsort(dest, kind="stable")
+        # In a bucket first the pairs of its own words, in their order, then those of hot contexts.
+        by_dest = np.lexsort((spread, dest))
         back = np.empty(len(by_dest), np.int64)
         back[by_dest] = np.arange(len(by_dest))
         node = back[of_pair]
-        self.pair_dest, self.context = dest[by_dest], first[c[by_dest]]
+        self.pair_dest, self.context, self.spread = dest[by_dest], first[c[by_dest]], spread[by_dest]
         self.nodes, self.last = [node], [short[by_dest]]
         self.seen, self.children = [np.bincount(node, learned, len(by_dest)).astype(np.int64)], []
         for level in range(3, order + 1):
@@ -162,9 +163,10 @@ class Requests:
         out = []
         for d in sorted({*words, *pairs}):
             a, b = pairs.get(d, (0, 0))
-            c = self.context[a:b]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            sizes, successors, seen = [squeezed(planes(np.diff(np.append(first, len(c))), 4))], [], []
+            own, hot = words[d][0] if d in words else np.zeros(0, np.uint64), self.spread[a:b]
+            of_own = np.bincount(np.searchsorted(own, self.context[a:b][~hot]), minlength=len(own))
+            further, of_further = np.unique(self.context[a:b][hot], return_counts=True)
+            sizes, successors, seen = [squeezed(planes(np.concatenate([of_own, of_further]), 4))], [], []
             for k, (last, counts) in enumerate(zip(self.last, self.seen, strict=True)):
                 successors.append(planes(last[a:b], width_of(k + 2)))
                 seen.append(squeezed(planes(counts[a:b], 4)))
@@ -172,7 +174,7 @@ class Requests:
                     starts = self.children[k][a : b + 1]
                     sizes.append(squeezed(planes(np.diff(starts), 4)))
                     a, b = (int(starts[0]), int(starts[-1])) if b > a else (0, 0)
-            out.append((d, self.batch, planes(words[d][0], 8) if d in words else b"", planes(c[first], 8), sizes, successors, seen))
+            out.append((d, self.batch, planes(own, 8), planes(further, 8), sizes, successors, seen))
         return out
 
 
@@ -223,7 +225,7 @@ class Asked:
         columns = {name: table[name].to_pylist() for name in ("sizes", "successors", "seen")}
         level = lambda name, k, width: [from_planes(x[k] if name == "successors" else loosened(x[k]), width) for x in columns[name]]
         self.batches, self.words = table["batch"].to_pylist(), get("words", 8)
-        self.contexts = np.concatenate(get("contexts", 8))
+        self.contexts = np.concatenate([x for both in zip(self.words, get("contexts", 8), strict=True) for x in both])
         self.parents, self.last, self.seen, self.lengths = [], [], [], []
         for k in range(order - 1):
             self.parents.append(np.repeat(np.arange(len(self.last[-1]) if k else len(self.contexts)), np.concatenate(level("sizes", k, 4)).astype(np.int64)))
