@@ -165,7 +165,9 @@ class Requests:
             a, b = pairs.get(d, (0, 0))
             own, hot = words[d][0] if d in words else np.zeros(0, np.uint64), self.spread[a:b]
             of_own = np.bincount(np.searchsorted(own, self.context[a:b][~hot]), minlength=len(own))
-            further, of_further = np.unique(self.context[a:b][hot], return_counts=True)
+            c = self.context[a:b][hot]
+            begins = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])[: len(c)])
+            further, of_further = c[begins], np.diff(np.append(begins, len(c)))
             sizes, successors, seen = [squeezed(planes(np.concatenate([of_own, of_further]), 4))], [], []
             for k, (last, counts) in enumerate(zip(self.last, self.seen, strict=True)):
                 successors.append(planes(last[a:b], width_of(k + 2)))
