@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, rounded
-from graphloom.operators.flows import SECURITY_WORDS, affected_flows
-from graphloom.operators.traverse import impact_radius
+from graphloom.operators.flows import SECURITY_WORDS, affected_flows, criticality
+from graphloom.operators.traverse import impact_radius, test_counts
 
 #: Names of methods that a framework calls (fixed values).
 LIFECYCLE = ("__init__", "__enter__", "__exit__", "__str__", "__repr__", "constructor", "ngOnInit", "ngOnDestroy", "componentDidMount", "componentWillUnmount", "render")
@@ -16,11 +16,13 @@ LIFECYCLE = ("__init__", "__enter__", "__exit__", "__str__", "__repr__", "constr
 def parse_unified_diff(lines: DataFrame) -> DataFrame:
     """lines(n, line) of a diff without context to (file_path, line_start, line_end); a hunk of 0 lines has one.
 
-    The file of a hunk is the last one named above it: lines are numbered, and their order is that of the whole diff."""
-    own = lines.select("n", "line", F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1).alias("f"), F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 1).alias("s"), F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 2).alias("c"))
-    own = own.where("f <> '' OR s <> ''").withColumn("file_path", F.last(F.when(F.col("f") != "", F.col("f")), ignorenulls=True).over(Window.orderBy("n")))
+    The file of a hunk is the last one named above it: lines are numbered, and their order is that of the whole diff. With a
+    column diff, each of several diffs is read on its own, and is named in the result."""
+    by = ["diff"] if "diff" in lines.columns else []
+    own = lines.select(*by, "n", "line", F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1).alias("f"), F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 1).alias("s"), F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 2).alias("c"))
+    own = own.where("f <> '' OR s <> ''").withColumn("file_path", F.last(F.when(F.col("f") != "", F.col("f")), ignorenulls=True).over(Window.partitionBy(*by).orderBy("n")))
     start, count = F.col("s").cast("long"), F.when(F.col("c") == "", 1).otherwise(F.col("c").cast("long"))
-    return own.where("s <> ''").select("file_path", start.alias("line_start"), F.when(count == 0, start).otherwise(start + count - 1).alias("line_end"))
+    return own.where("s <> ''").select(*by, "file_path", start.alias("line_start"), F.when(count == 0, start).otherwise(start + count - 1).alias("line_end"))
 
 
 def parse_numstat(records: DataFrame) -> DataFrame:
@@ -51,17 +53,18 @@ def node_at(graph: Graph, cursors: DataFrame) -> DataFrame:
 
 
 def risk(graph: Graph, nodes: DataFrame, flow_scores: DataFrame | None = None, churn: DataFrame | None = None) -> DataFrame:
-    """nodes with risk_score: flows up to .25, callers of other communities .15, missing tests .30 down to .05, security
-    .20, callers .10, churn .15. flow_scores(node, criticality); churn(path, commits)."""
+    """nodes with risk_score: flows up to .25, callers of other communities .15, missing tests (also of what they contain
+    and call) .30 down to .05, security .20, callers .10, churn .15. flow_scores(node, criticality) has a row for each flow
+    that passes a node: the sum of what is known counts, or .05 for each flow; churn(path, commits)."""
     own = nodes.select("qualified_name", "name", "file_path", "community_id")
     calls = graph.of_kind("CALLS").select(F.col("source").alias("caller"), F.col("target").alias("qualified_name")).join(own.select("qualified_name"), "qualified_name", "left_semi")
     callers = calls.groupBy("qualified_name").agg(F.count("*").alias("callers"))
     community = graph.nodes.select(F.col("qualified_name").alias("caller"), F.col("community_id").alias("cc"))
     crossing = calls.distinct().join(community, "caller").join(own.select("qualified_name", "community_id"), "qualified_name").where("cc <> community_id").groupBy("qualified_name").agg(F.count("*").alias("crossing"))
-    tests = graph.of_kind("TESTED_BY").groupBy(F.col("source").alias("qualified_name")).agg(F.count("*").alias("tests"))
+    tests = test_counts(graph, nodes)
     joined = own.join(callers, "qualified_name", "left").join(crossing, "qualified_name", "left").join(tests, "qualified_name", "left")
     if flow_scores is not None:
-        joined = joined.join(flow_scores.groupBy(F.col("node").alias("qualified_name")).agg(F.sum("criticality").alias("flow")), "qualified_name", "left")
+        joined = joined.join(flow_scores.groupBy(F.col("node").alias("qualified_name")).agg(F.coalesce(F.sum("criticality"), F.count("*") * 0.05).alias("flow")), "qualified_name", "left")
     else:
         joined = joined.withColumn("flow", F.lit(0.0))
     joined = joined.join(churn.toDF("file_path", "commits"), "file_path", "left") if churn is not None else joined.withColumn("commits", F.lit(0))
@@ -69,7 +72,7 @@ def risk(graph: Graph, nodes: DataFrame, flow_scores: DataFrame | None = None, c
     cap = lambda x, most: F.least(x, F.lit(most))
     secure = F.lower(F.concat_ws(" ", "name", "qualified_name")).rlike("|".join(SECURITY_WORDS))
     score = cap(F.col("flow"), 0.25) + cap(F.col("crossing") * 0.05, 0.15) + (0.3 - cap(F.col("tests") / 5, 1.0) * 0.25) + F.when(secure, 0.2).otherwise(0.0) + cap(F.col("callers") / 20, 0.1) + cap(F.col("commits") / 10, 1.0) * 0.15
-    return joined.select("qualified_name", "name", "file_path", rounded(score).alias("risk_score"), "callers", "tests")
+    return joined.select("qualified_name", "name", "file_path", rounded(cap(score, 1.0)).alias("risk_score"), "callers", "tests")
 
 
 def test_gaps(graph: Graph, nodes: DataFrame) -> DataFrame:
@@ -81,7 +84,8 @@ def test_gaps(graph: Graph, nodes: DataFrame) -> DataFrame:
 def analyze(graph: Graph, ranges: DataFrame, steps: DataFrame | None = None, churn: DataFrame | None = None, most: int = 500) -> dict[str, DataFrame]:
     """The parts of a change report: changed functions with their risk, priorities, gaps, affected flows and a summary."""
     hit = changed_nodes(graph, ranges).where("kind <> 'File'")
-    scored = risk(graph, hit, churn=churn)
+    scores = None if steps is None else steps.select("entry", "node").distinct().join(criticality(graph, steps).select("entry", "criticality"), "entry").select("node", "criticality")
+    scored = risk(graph, hit, scores, churn)
     parts = {"changed": scored.orderBy(F.desc("risk_score"), "qualified_name").limit(most), "priorities": scored.orderBy(F.desc("risk_score"), "qualified_name").limit(10), "gaps": test_gaps(graph, hit)}
     if steps is not None:
         parts["flows"] = affected_flows(graph, steps, hit.select("file_path").distinct())

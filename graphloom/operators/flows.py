@@ -2,27 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_test_file
 from graphloom.graph import Graph, durable, rounded
 from graphloom.operators.traverse import LAZY_HOPS
 
-# Names and decorators of entry points, and words that concern security.
-ENTRY_NAME = r"(?i)^(main|__main__|run|start|serve|app|cli|handler|index|execute|lambda_handler|test_.*|Test[A-Z].*|on_.*|handle_.*|do_(get|post|put|delete|patch))$"
-ENTRY_DECORATOR = r"(?i)(route|get|post|put|delete|patch|command|task|celery|fixture|websocket|event|subscriber|listener|scheduled|handler)\b"
+# Names of entry points, in any language and in one; decorators of entry points, without regard to case and
+# with it; words that concern security.
+ENTRY_NAMES = (
+    r"^main$",
+    r"^__main__$",
+    r"^test_",
+    r"^Test[A-Z]",
+    r"^on_",
+    r"^handle_",
+    r"^handler$",
+    r"^handle$",
+    r"^lambda_handler$",
+    r"^upgrade$",
+    r"^downgrade$",
+    r"^lifespan$",
+    r"^get_db$",
+    r"^on(Create|Start|Resume|Pause|Stop|Destroy|Bind|Receive)",
+    r"^do(Get|Post|Put|Delete)$",
+    r"^do_(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$",
+    r"^log_message$",
+    r"^(middleware|errorHandler)$",
+    r"^ng(OnInit|OnChanges|OnDestroy|DoCheck|AfterContentInit|AfterContentChecked|AfterViewInit|AfterViewChecked)$",
+    r"^(transform|writeValue|registerOnChange|registerOnTouched|setDisabledState)$",
+    r"^(canActivate|canDeactivate|canActivateChild|canLoad|canMatch|resolve)$",
+    r"^(componentDidMount|componentDidUpdate|componentWillUnmount|shouldComponentUpdate|render)$",
+)
+ENTRY_NAMES_OF = {"php": (r"^(boot|register)$", r"^__invoke$")}
+ENTRY_DECORATORS = (
+    r"app\.(get|post|put|delete|patch|route|websocket|on_event)",
+    r"router\.(get|post|put|delete|patch|route)",
+    r"blueprint\.(route|before_request|after_request)",
+    r"(before|after)_(request|response)",
+    r"click\.(command|group)",
+    r"\w+\.(command|group)\b",
+    r"(field|model)_(serializer|validator)",
+    r"(celery\.)?(task|shared_task|periodic_task)",
+    r"receiver",
+    r"api_view",
+    r"\baction\b",
+    r"(override_settings|modify_settings)",
+    r"(event\.)?listens_for",
+    r"(Get|Post|Put|Delete|Patch|RequestMapping)Mapping",
+    r"(Scheduled|EventListener|Bean|Configuration)",
+    r"KafkaListener",
+    r"(WorkflowMethod|ActivityMethod)",
+    r"(Component|Injectable|Controller|Module|Guard|Pipe)",
+    r"(Subscribe|Mutation|Query|Resolver)",
+    r"@(Override|OnLifecycleEvent|Composable)",
+    r"(HiltViewModel|AndroidEntryPoint|Inject)",
+    r"\w+\.(tool|tool_plain|system_prompt|result_validator)\b",
+    r"\w+\.(middleware|exception_handler|on_exception)\b",
+    r"\w+\.route\b",
+)
+ENTRY_DECORATORS_EXACT = (r"pytest\.(fixture|mark)", r"(app|router)\.(get|post|put|delete|patch|use|all)\b", r"^tool\b")
 SECURITY_WORDS = "auth login password token session crypt secret credential permission sql query execute connect socket request http sanitize validate encrypt decrypt hash sign verify admin privilege".split()
 
 
+def has_entry_name(name: Column, language: Column) -> Column:
+    """Whether a name is one of the entry points' names, in any language or in this one."""
+    of_language = [(language == own) & name.rlike("|".join(patterns)) for own, patterns in ENTRY_NAMES_OF.items()]
+    return F.coalesce(functools.reduce(lambda a, b: a | b, of_language, name.rlike("|".join(ENTRY_NAMES))), F.lit(False))
+
+
+def has_entry_decorator(extra: Column) -> Column:
+    """Whether a decorator in extra (a list of them or one string) is that of an entry point."""
+    one = F.get_json_object(extra, "$.decorators")
+    several = F.coalesce(F.from_json(one, "array<string>"), F.array(one))
+    entry = lambda d: d.rlike("(?i)" + "|".join(ENTRY_DECORATORS)) | d.rlike("|".join(ENTRY_DECORATORS_EXACT))
+    return F.coalesce(F.exists(several, entry), F.lit(False))
+
+
 def entry_points(graph: Graph, include_tests: bool = False) -> DataFrame:
     """Functions that nobody calls (calls by files don't count), or with the name or decorator of an entry point."""
     called = graph.of_kind("CALLS").join(graph.nodes.where("kind = 'File'").select(F.col("qualified_name").alias("source")), "source", "left_anti").select(F.col("target").alias("qualified_name")).distinct().withColumn("called", F.lit(True))
     found = graph.nodes.where(F.col("kind").isin("Function", "Test")).join(called, "qualified_name", "left")
-    marked = F.col("name").rlike(ENTRY_NAME)
+    marked = has_entry_name(F.col("name"), F.col("language") if "language" in graph.nodes.columns else F.lit(None).cast("string"))
     if "extra" in graph.nodes.columns:
-        decorators = F.from_json(F.get_json_object("extra", "$.decorators"), "array<string>")
-        marked = marked | F.coalesce(F.exists(decorators, lambda d: d.rlike(ENTRY_DECORATOR)), F.lit(False))
+        marked = marked | has_entry_decorator(F.col("extra"))
         found = found.where(F.get_json_object("extra", "$.verilog_kind").isNull())
     found = found.where(F.col("called").isNull() | marked)
     return (found if include_tests else found.where(~F.col("is_test") & ~is_test_file(F.col("file_path")))).drop("called")
@@ -34,19 +100,24 @@ def trace_flows(graph: Graph, entries: DataFrame | None = None, max_depth: int =
     entries = entry_points(graph) if entries is None else entries
     known = graph.nodes.select(F.col("qualified_name").alias("target"))
     calls = graph.of_kind("CALLS").join(known, "target", "left_semi").select("source", "target").distinct()
-    level = entries.select(F.col("qualified_name").alias("entry"), F.col("qualified_name").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("position"))
+    if max_depth > LAZY_HOPS:
+        calls = durable(calls)
+    # last: how many places a flow has used, known in each of its rows.
+    level = entries.select(F.col("qualified_name").alias("entry"), F.col("qualified_name").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("last"))
+    level = durable(level) if max_depth > LAZY_HOPS else level
     found = level
     for depth in range(1, max_depth + 1):
-        nexts = level.join(calls, level.node == calls.source).groupBy("entry", F.col("target").alias("node")).agg(F.min("position").alias("caller"))
+        nexts = level.join(calls, level.node == calls.source).groupBy("entry", F.col("target").alias("node")).agg(F.min("position").alias("caller"), F.max("last").alias("last"))
         nexts = nexts.join(found.select("entry", "node"), ["entry", "node"], "left_anti")
-        order = Window.partitionBy("entry").orderBy("caller", "node")
-        base = found.groupBy("entry").agg(F.max("position").alias("base"))
-        level = nexts.join(base, "entry").select("entry", "node", F.lit(depth).alias("depth"), (F.row_number().over(order) + F.col("base")).cast("long").alias("position"))
+        own = Window.partitionBy("entry")
+        place = (F.row_number().over(own.orderBy("caller", "node")) + F.col("last")).cast("long")
+        level = nexts.select("entry", "node", F.lit(depth).alias("depth"), place.alias("position"), (F.count("*").over(own) + F.col("last")).alias("last"))
         if max_depth > LAZY_HOPS:
             level = durable(level)
             if level.isEmpty():
                 break
         found = found.union(level)
+    found = found.drop("last")
     long_enough = found.where("depth > 0").select("entry").distinct()
     return found.join(long_enough, "entry", "left_semi")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import file_of, is_test_file
 from graphloom.graph import Graph
 from graphloom.operators.analytics import referenced_type_names
-from graphloom.operators.flows import ENTRY_DECORATOR, ENTRY_NAME
+from graphloom.operators.flows import has_entry_decorator, has_entry_name
 
 # Decorators and base classes that a framework calls.
 EXEMPT_DECORATOR = r"(?i)(property|abstractmethod|classmethod|staticmethod|hostlistener|dataclass|override)"
@@ -36,10 +36,10 @@ def dead_code(graph: Graph, kind: str | None = None, file_pattern: str | None =
     from a file that could mean them (the same file, one that imports theirs, or any if the name is unique), no type
     annotation, no subclass; tests, entry points and what a framework calls don't count."""
     n = graph.nodes.where(F.col("kind").isin("Function", "Class") & ~F.col("is_test") & ~is_test_file(F.col("file_path")))
-    n = n.where(~F.col("file_path").endswith(".d.ts") & ~F.col("name").rlike(r"^__\w+__$") & (F.col("name") != "constructor") & ~F.col("name").rlike(ENTRY_NAME))
+    n = n.where(~F.col("file_path").endswith(".d.ts") & ~F.col("name").rlike(r"^__\w+__$") & (F.col("name") != "constructor") & ~has_entry_name(F.col("name"), F.col("language") if "language" in graph.nodes.columns else F.lit(None).cast("string")))
     if "extra" in graph.nodes.columns:
         extra = F.coalesce(F.get_json_object("extra", "$.decorators"), F.lit(""))
-        n = n.where(F.get_json_object("extra", "$.verilog_kind").isNull() & ~extra.rlike(ENTRY_DECORATOR) & ~extra.rlike(EXEMPT_DECORATOR) & ~((F.col("kind") == "Class") & (extra != "")))
+        n = n.where(F.get_json_object("extra", "$.verilog_kind").isNull() & ~has_entry_decorator(F.col("extra")) & ~extra.rlike(EXEMPT_DECORATOR) & ~((F.col("kind") == "Class") & (extra != "")))
     n = n.where(F.col("kind") == kind) if kind else n
     n = n.where(F.col("file_path").ilike(f"%{file_pattern}%")) if file_pattern else n
     key = lambda df, c: df.select(F.col(c).alias("qualified_name")).distinct()

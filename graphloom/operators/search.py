@@ -188,8 +188,10 @@ def hybrid_search(graph: Graph, postings: DataFrame, query: str, kind: str | Non
 
 
 def cross_repo(results: list[tuple[str, DataFrame]], key: str, most: int = 50) -> DataFrame:
-    """Results of several catalogs merged by local rank, then by the catalogs' order."""
-    parts = [r.select(F.lit(name).alias("repo"), F.lit(k).alias("repo_index"), F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"), key, "score") for k, (name, r) in enumerate(results)]
+    """Results of several catalogs merged by local rank, then by the catalogs' order. No rank beyond `most` can be among
+    the first `most`, so each list is cut there before it is numbered."""
+    best = lambda r: r.orderBy(F.desc("score"), key).limit(most)
+    parts = [best(r).select(F.lit(name).alias("repo"), F.lit(k).alias("repo_index"), F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"), key, "score") for k, (name, r) in enumerate(results)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -114,6 +114,25 @@ def transitive_tests(graph: Graph, names: list[str], max_depth: int = 1, max_fro
     return found.join(graph.nodes, found.test == graph.nodes.qualified_name).select("test", "hops", "file_path")
 
 
+def test_counts(graph: Graph, nodes: DataFrame, max_frontier: int = 50) -> DataFrame:
+    """nodes(qualified_name, kind, file_path) to (qualified_name, tests): how many known tests each has by itself, by what
+    it contains (a class its members, a file its classes and functions), or by what those call, of which the first
+    max_frontier by name count. Edges with unresolved ends don't count; every node is answered on its own."""
+    own = nodes.select(F.col("qualified_name").alias("of"), "kind", "file_path").distinct()
+    inside = graph.of_kind("CONTAINS").join(own.where("kind = 'Class'").select(F.col("of").alias("source")), "source").select(F.col("source").alias("of"), F.col("target").alias("q"))
+    symbols = graph.nodes.where(F.col("kind").isin("Class", "Function", "Method")).select("file_path", F.col("qualified_name").alias("q"))
+    of_files = own.where("kind = 'File'").join(symbols, "file_path").select("of", "q")
+    start = own.select("of", F.col("of").alias("q")).union(inside).union(of_files).distinct()
+    calls, tested = graph.of_kind("CALLS"), graph.of_kind("TESTED_BY")
+    if "extra" in graph.edges.columns:
+        tested = tested.where(~F.coalesce(F.col("extra"), F.lit("")).rlike("ambiguous_targets|unresolved_targets"))
+    known = graph.nodes.select(F.col("qualified_name").alias("target"))
+    callees = start.join(calls.select(F.col("source").alias("q"), "target").distinct(), "q").join(known, "target", "left_semi").select("of", F.col("target").alias("q")).distinct().join(start, ["of", "q"], "left_anti")
+    first = callees.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("q"))).where(F.col("n") <= max_frontier).drop("n")
+    tests = start.union(first).join(tested.select(F.col("source").alias("q"), "target").distinct(), "q").join(known, "target", "left_semi")
+    return tests.groupBy(F.col("of").alias("qualified_name")).agg(F.countDistinct("target").alias("tests"))
+
+
 def single_hop_dependents(graph: Graph, files: DataFrame) -> DataFrame:
     """files(file_path) to (file_path, dependent): files that import them or use their nodes, without themselves."""
     imports = graph.of_kind("IMPORTS_FROM").select(file_of(F.col("target")).alias("f"), F.col("file_path").alias("dependent"))
@@ -131,8 +150,9 @@ def find_dependents(graph: Graph, path: str, max_hops: int = 2, most: int = 500)
         nexts = single_hop_dependents(graph, frontier.select("file_path")).select(F.col("dependent").alias("file_path")).distinct()
         frontier = nexts.join(found, "file_path", "left_anti").withColumn("hops", F.lit(hop))
         found = found.union(frontier)
-    found = found.where("hops > 0")
-    return found.withColumn("truncated", F.count("*").over(Window.partitionBy()) > most).orderBy("file_path").limit(most)
+    # One row more than is shown tells whether there are more; the window has no more rows than that.
+    listed = found.where("hops > 0").orderBy("file_path").limit(most + 1)
+    return listed.withColumn("truncated", F.count("*").over(Window.partitionBy()) > most).orderBy("file_path").limit(most)
 
 
 def referrer_files(graph: Graph, gone: DataFrame, forgotten: DataFrame) -> DataFrame:

@@ -473,7 +473,7 @@ def community_names(spark, sf_dir):
 
 # Flows on the chains of turns
 
-ENTRIES = "entries AS (SELECT n.qualified_name e FROM nodes n WHERE n.kind = 'Function' AND (NOT EXISTS (SELECT 1 FROM edges c WHERE c.kind = 'CALLS' AND c.target = n.qualified_name) OR regexp_matches(n.name, '(?i)^(handle_.*)$')))"
+ENTRIES = "entries AS (SELECT n.qualified_name e FROM nodes n WHERE n.kind = 'Function' AND (NOT EXISTS (SELECT 1 FROM edges c WHERE c.kind = 'CALLS' AND c.target = n.qualified_name) OR regexp_matches(n.name, '^(main|__main__|handler|handle|lambda_handler|upgrade|downgrade|lifespan|get_db|log_message)$|^(test_|Test[A-Z]|on_|handle_|on(Create|Start|Resume|Pause|Stop|Destroy|Bind|Receive))')))"
 CALLED = "calls AS (SELECT DISTINCT source s, target t FROM edges WHERE kind = 'CALLS' AND target IN (SELECT qualified_name FROM nodes))"
 STEPS = f"steps AS (WITH RECURSIVE w AS (SELECT e AS entry, e AS node, 0 AS depth FROM entries UNION ALL SELECT entry, t, depth + 1 FROM w JOIN calls ON s = node WHERE depth < 15) SELECT * FROM w), long AS (SELECT * FROM steps WHERE entry IN (SELECT entry FROM steps WHERE depth > 0))"
 SECURE = "'auth|login|password|token|session|crypt|secret|credential|permission|sql|query|execute|connect|socket|request|http|sanitize|validate|encrypt|decrypt|hash|sign|verify|admin|privilege'"
@@ -596,7 +596,10 @@ def merged_ranges_all(spark, sf_dir):
     return changes.merged_ranges(own)
 
 
-RISK = f"""calls AS (SELECT target q, count(*) n FROM edges WHERE kind = 'CALLS' GROUP BY 1), tests AS (SELECT source q, count(*) n FROM edges WHERE kind = 'TESTED_BY' GROUP BY 1),
+RISK = f"""calls AS (SELECT target q, count(*) n FROM edges WHERE kind = 'CALLS' GROUP BY 1),
+  own AS (SELECT qualified_name o, qualified_name q FROM picked UNION SELECT p.qualified_name, e.target FROM picked p JOIN edges e ON e.source = p.qualified_name AND e.kind = 'CONTAINS' WHERE p.kind = 'Class'),
+  callees AS (SELECT o, t AS q FROM (SELECT o, t, row_number() OVER (PARTITION BY o ORDER BY t) r FROM (SELECT DISTINCT o, e.target t FROM own JOIN edges e ON e.source = q AND e.kind = 'CALLS' WHERE e.target IN (SELECT qualified_name FROM nodes) AND (o, e.target) NOT IN (SELECT o, q FROM own)) AS d) AS x WHERE r <= 50),
+  tests AS (SELECT o AS q, count(DISTINCT e.target) n FROM (SELECT * FROM own UNION SELECT * FROM callees) AS r JOIN edges e ON e.source = r.q AND e.kind = 'TESTED_BY' WHERE e.target IN (SELECT qualified_name FROM nodes) GROUP BY 1),
   crossing AS (SELECT t.qualified_name q, count(DISTINCT e.source) n FROM edges e JOIN nodes s ON s.qualified_name = e.source JOIN nodes t ON t.qualified_name = e.target WHERE e.kind = 'CALLS' AND s.community_id <> t.community_id GROUP BY 1),
   risks AS (SELECT h.qualified_name, round(least(coalesce(x.n, 0) * 0.05::DOUBLE, 0.15::DOUBLE) + (0.3::DOUBLE - least(coalesce(t.n, 0) / 5, 1) * 0.25::DOUBLE) + CASE WHEN regexp_matches(lower(h.name || ' ' || h.qualified_name), {SECURE}) THEN 0.2::DOUBLE ELSE 0 END + least(coalesce(c.n, 0) / 20, 0.1::DOUBLE), 4) AS risk_score FROM picked h LEFT JOIN calls c ON c.q = h.qualified_name LEFT JOIN tests t ON t.q = h.qualified_name LEFT JOIN crossing x ON x.q = h.qualified_name)"""
 

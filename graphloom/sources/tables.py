@@ -33,10 +33,11 @@ EDGES = """
 SELECT kind, source, target, split_part(source, '::', 1) AS file_path, line FROM (
 SELECT 'CALLS' AS kind, concat('nation/', c_nationkey, '::C', c_custkey) AS source, concat('nation/', s_nationkey, '::S', s_suppkey) AS target, l_orderkey AS line
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
-WHERE l_linenumber = 1
+WHERE l_linenumber = 1 OR l_linenumber > 3
 UNION ALL
 SELECT DISTINCT 'DEPENDS_ON', concat('nation/', s_nationkey, '::S', s_suppkey), concat('part/', p_brand, '::P', p_partkey), CAST(0 AS BIGINT)
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 2
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey
+WHERE l_linenumber = 2 OR l_linenumber = 3 AND l_returnflag <> 'R'
 UNION ALL
 SELECT DISTINCT 'TESTED_BY', concat('part/', p_brand, '::P', p_partkey), concat('nation/', c_nationkey, '::C', c_custkey), CAST(0 AS BIGINT)
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey

@@ -242,7 +242,7 @@ def test_diff_ranges_and_overlap(make, spark):
 
 
 def test_risk_grows_without_tests(make):
-    nodes = [node("login", community=1), node("plain", community=1), node("covered", community=1), *[node(f"c{i}", "/c.py", community=2) for i in range(4)]]
+    nodes = [node("login", community=1), node("plain", community=1), node("covered", community=1), *[node(f"c{i}", "/c.py", community=2) for i in range(4)], *[node(f"t{i}", "/t.py") for i in range(5)]]
     g = make(nodes, [edge(f"/c.py::c{i}", "/a.py::login") for i in range(4)] + [edge("/a.py::covered", f"/t.py::t{i}", "TESTED_BY") for i in range(5)])
     r = {x.name: x.risk_score for x in changes.risk(g, g.nodes).collect()}
     assert r["login"] == pytest.approx(0.15 + 0.3 + 0.2 + 0.1) and r["plain"] == 0.3 and r["covered"] == pytest.approx(0.05)
