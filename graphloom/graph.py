@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,11 +24,25 @@ class Graph:
         return replace(self, nodes=self.nodes if nodes is None else nodes, edges=self.edges if edges is None else edges)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a local folder where the session has none): iterations don't grow lineage."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder where a local session has none."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of a new folder below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: iterations don't grow lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

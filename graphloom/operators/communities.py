@@ -1,7 +1,9 @@
-"""Communities: grouping by directory, label propagation, naming and reassignment of tests."""
+"""Communities: grouping by directory, by modularity, label propagation, naming and reassignment of tests."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,88 @@ def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def resolution_for(n: int) -> float:
+    """Coarser communities in larger graphs (fixed rule)."""
+    return max(0.05, 1 / math.log10(max(n, 10)))
+
+
+def modularity(pairs: DataFrame, labels: DataFrame, resolution: float) -> float:
+    """pairs(u, v, w), each once, and labels(q, label)."""
+    own = pairs.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v")
+    ends = own.select(F.col("a").alias("c"), "w").union(own.select(F.col("b").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("d"))
+    inside = own.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("i"), F.sum("w").alias("m")).first()
+    if not inside.m:
+        return 0.0
+    return inside.i / inside.m - resolution * ends.agg(F.sum((F.col("d") / (2 * inside.m)) ** 2)).first()[0]
+
+
+def moved(pairs: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """(q, label): nodes go, a random half of them a round, to the neighbouring community that raises the modularity most, as seen
+    before the round; ties to the smallest label. A round that doesn't raise it is taken back. Labels are nodes."""
+    arcs = pairs.union(pairs.select("v", "u", "w")).where("u <> v")
+    labels = durable(degree.select("q", F.col("q").alias("label")))
+    best = modularity(pairs, labels, resolution)
+    idle = 0
+    for r in range(rounds):
+        own = labels.join(degree, "q")
+        sizes = own.groupBy("label").agg(F.sum("d").alias("s"))
+        near = arcs.join(labels.toDF("v", "label"), "v").groupBy(F.col("u").alias("q"), "label").agg(F.sum("w").alias("w"))
+        tried = near.union(labels.select("q", "label", F.lit(0.0))).groupBy("q", "label").agg(F.sum("w").alias("w")).join(sizes, "label").join(own.select("q", "d", F.col("label").alias("old")), "q")
+        rest = F.col("s") - F.when(F.col("label") == F.col("old"), F.col("d")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("d") * rest / (2 * total), 9)
+        top = tried.groupBy("q").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("old")).alias("o"), "label")).alias("top")).select("q", F.col("top.label").alias("new"))
+        turn = F.pmod(F.xxhash64("q", F.lit(r)), F.lit(2)) == 0
+        tries = durable(labels.join(top, "q").select("q", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label")))
+        worth = modularity(pairs, tries, resolution)
+        if worth > best + 1e-9:
+            labels, best, idle = tries, worth, 0
+        elif (idle := idle + 1) == 3:
+            break
+    return labels
+
+
+def modularity_communities(graph: Graph, resolution: float | None = None, levels: int = 4, rounds: int = 8) -> DataFrame:
+    """qualified_name, label of all nodes but files: local moves of nodes, then of the communities as nodes, until the
+    modularity no longer rises. Before communities become nodes, each is cut into its connected parts, so none is
+    disconnected. A node without edges is its own community; labels are the smallest members."""
+    known = graph.nodes.where("kind <> 'File'").select("qualified_name").distinct()
+    pairs = undirected_weights(graph).join(known.toDF("u"), "u", "left_semi").join(known.toDF("v"), "v", "left_semi").select("u", "v", "w")
+    pairs = durable(pairs)
+    sums = pairs.agg(F.sum("w").alias("m")).first()
+    labels = known.select(F.col("qualified_name").alias("q"), F.col("qualified_name").alias("label"))
+    if not sums.m:
+        return labels.toDF("qualified_name", "label")
+    resolution = resolution_for(known.count()) if resolution is None else resolution
+    at = pairs
+    for _ in range(levels):
+        ends = at.select(F.col("u").alias("q"), "w").union(at.select(F.col("v").alias("q"), "w"))
+        degree = durable(ends.groupBy("q").agg(F.sum("w").alias("d")))
+        found = connected_parts(at, moved(at, degree, sums.m, resolution, rounds))
+        if found.where("q <> label").isEmpty():
+            break
+        labels = durable(labels.join(found.toDF("label", "up"), "label", "left").select("q", F.coalesce("up", "label").alias("label")))
+        both = at.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v")
+        at = durable(both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
+    named = labels.groupBy("label").agg(F.min("q").alias("name"))
+    return labels.join(named, "label").select(F.col("q").alias("qualified_name"), F.col("name").alias("label"))
+
+
+def connected_parts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(q, label): labels cut into the parts that are connected inside, each named by its smallest node."""
+    own = pairs.where("u <> v").join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").where("a = b").select("u", "v")
+    arcs = durable(own.union(own.select("v", "u")))
+    parts = durable(labels.select("q", F.col("q").alias("label")))
+    while True:
+        least = arcs.join(parts.toDF("v", "label"), "v").groupBy(F.col("u").alias("q")).agg(F.min("label").alias("near"))
+        step = parts.join(least, "q", "left").select("q", F.least("label", F.coalesce("near", "label")).alias("label"))
+        # A label is a node too: its own label is nearer to the least one.
+        up = durable(step.join(step.toDF("label", "next"), "label").select("q", F.least("label", "next").alias("label")))
+        changed = not up.toDF("q", "new").join(parts, "q").where("new <> label").isEmpty()
+        parts = up
+        if not changed:
+            return parts
+
+
 def reassign_tests(graph: Graph) -> DataFrame:
     """qualified_name, community_id of each test with tested subjects: the community of most distinct ones; ties keep
     the test's own community, else go to the smallest."""
@@ -86,11 +170,12 @@ def oversized(graph: Graph, share: float = 0.25, least: int = 10) -> DataFrame:
 
 
 def split_oversized(graph: Graph, share: float = 0.25, least: int = 10) -> DataFrame:
-    """qualified_name, community_id, part: members of oversized communities by label propagation inside each."""
+    """qualified_name, community_id, part: members of oversized communities by modularity inside each. No edge leads from
+    one community to another here, so all are split at once."""
     big = graph.nodes.join(oversized(graph, share, least).select("community_id"), "community_id", "left_semi")
     own = big.select("qualified_name", "community_id")
     inner = graph.edges.join(own.toDF("source", "sc"), "source").join(own.toDF("target", "tc"), "target").where("sc = tc").select(*graph.edges.columns)
-    return label_propagation(Graph(big, inner)).join(own, "qualified_name").select("qualified_name", "community_id", F.xxhash64("label").alias("part"))
+    return modularity_communities(Graph(big, inner)).join(own, "qualified_name").select("qualified_name", "community_id", F.xxhash64("label").alias("part"))
 
 
 def keywords(members: DataFrame, top: int = 5) -> DataFrame:

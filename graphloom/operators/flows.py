@@ -155,6 +155,12 @@ def memberships(flow_table: DataFrame) -> DataFrame:
     return flow_table.select("flow_id", F.posexplode("path").alias("position", "node")).groupBy("flow_id", "node").agg(F.min("position").alias("position"))
 
 
+def flows_of_nodes(flow_table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qualified_name, flow_id, entry, criticality): the flows that pass each of nodes(qualified_name), once each."""
+    own = memberships(flow_table).join(nodes.select(F.col("qualified_name").alias("node")).distinct(), "node")
+    return own.join(flow_table.select("flow_id", "entry", "criticality"), "flow_id").select(F.col("node").alias("qualified_name"), "flow_id", "entry", "criticality")
+
+
 def flow_by_id(graph: Graph, flow_table: DataFrame, flow_id: int, max_steps: int = 50) -> DataFrame:
     steps = memberships(flow_table.where(F.col("flow_id") == flow_id))
     return steps.join(graph.nodes, steps.node == graph.nodes.qualified_name).orderBy("position").limit(max_steps)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.graph import Graph
+from graphloom.graph import Graph, shared_folder
 from graphloom.operators import analytics, changes, communities, embeddings, exports, flows, patterns, refactor, resolve, search, store, summaries, traverse
 from graphloom.sources import tables
 
@@ -711,7 +711,7 @@ def delete_files(spark, sf_dir):
 
 # Resolution: names of suppliers as bare call targets, brands as modules
 
-BARE = "bare AS (SELECT DISTINCT c_custkey, concat('nation/', c_nationkey) AS f, s_name AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1)"
+BARE = "bare AS (SELECT DISTINCT c_custkey, concat('nation/', c_nationkey) AS f, s_name AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (l_linenumber = 1 OR l_linenumber > 3))"
 
 
 def bare_graph(spark, sf_dir) -> Graph:
@@ -927,3 +927,195 @@ def upsert_latest_halves(spark, sf_dir):
     old = store.latest(events.limit(0), events.where("event_id % 2 = 0"), ["user_id"], order)
     merged = store.latest(old, events.where("event_id % 2 = 1"), ["user_id"], order)
     return merged.join(old.select("user_id", F.lit(True).alias("known")), "user_id", "left").select("user_id", "event_type", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+# Reads by key, and writes of whole files
+
+
+@query(f"{GRAPH} SELECT qualified_name, kind, name FROM nodes WHERE qualified_name = 'nation/7'")
+def node_by_name(spark, sf_dir):
+    return store.get_node(graph(spark, sf_dir), "nation\\7").select("qualified_name", "kind", "name")
+
+
+@query(f"{GRAPH} SELECT qualified_name, line_start FROM nodes WHERE file_path = 'nation/7'")
+def nodes_of_file(spark, sf_dir):
+    return store.nodes_by_file(graph(spark, sf_dir), "nation/7").select("qualified_name", "line_start")
+
+
+@query(f"{GRAPH} SELECT qualified_name, kind FROM nodes WHERE kind <> 'File'")
+def nodes_without_files(spark, sf_dir):
+    return store.all_nodes(graph(spark, sf_dir)).select("qualified_name", "kind")
+
+
+@query(f"{GRAPH} SELECT kind, target, line FROM edges WHERE source = (SELECT qualified_name FROM nodes WHERE qualified_name LIKE '%::C10')")
+def edges_of_source(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return store.edges_by_source(g, seed(g, "::C10")).select("kind", "target", "line")
+
+
+@query(f"{GRAPH} SELECT kind, source, line FROM edges WHERE target = {S1}")
+def edges_of_target(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return store.edges_by_target(g, seed(g, "::S1")).select("kind", "source", "line")
+
+
+@query(f"{GRAPH}, own AS (SELECT qualified_name q FROM nodes WHERE kind = 'Class' OR language = 'java') SELECT 'node' AS what, q AS a, '' AS b FROM own UNION ALL SELECT kind, source, target FROM edges WHERE source IN (SELECT q FROM own) AND target IN (SELECT q FROM own)")
+def subgraph_rows(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    part = store.subgraph(g, g.nodes.where("kind = 'Class' OR language = 'java'"))
+    return part.nodes.select(F.lit("node").alias("what"), F.col("qualified_name").alias("a"), F.lit("").alias("b")).union(part.edges.select("kind", "source", "target"))
+
+
+@query(f"{GRAPH} SELECT qualified_name FROM nodes WHERE kind <> 'Class'")
+def unsigned_nodes(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return store.nodes_without_signature(g.with_tables(nodes=g.nodes.withColumn("signature", F.when(F.col("kind") == "Class", F.col("name"))))).select("qualified_name")
+
+
+@query(f"{GRAPH} SELECT (SELECT count(*) > 0 FROM nodes WHERE language = 'java') AS java, (SELECT count(*) > 0 FROM nodes WHERE language = 'cobol') AS cobol")
+def languages_present(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return spark.range(1).select(F.lit(store.has_nodes(g, "java")).alias("java"), F.lit(store.has_nodes(g, "cobol")).alias("cobol"))
+
+
+@query(f"{GRAPH} SELECT source, target, source AS ambiguous FROM edges WHERE kind = 'DEPENDS_ON'")
+def edges_as_shown(spark, sf_dir):
+    edges = graph(spark, sf_dir).of_kind("DEPENDS_ON").withColumn("extra", F.to_json(F.struct(F.array("source").alias("ambiguous_targets"))))
+    return store.edge_view(edges).select("source", "target", F.array_join("ambiguous_targets", ",").alias("ambiguous"))
+
+
+@query(f"{GRAPH} SELECT qualified_name, CASE WHEN kind = 'Class' THEN upper(name) || '!' ELSE name END AS name FROM nodes")
+def upserted_nodes(spark, sf_dir):
+    nodes = graph(spark, sf_dir).nodes
+    new = nodes.where("kind = 'Class'").withColumn("name", F.concat(F.upper("name"), F.lit("!")))
+    return store.upsert_nodes(nodes, new).select("qualified_name", "name")
+
+
+@query(f"{GRAPH} SELECT DISTINCT kind, source, target, line, CASE WHEN kind = 'CONTAINS' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM edges")
+def upserted_edges(spark, sf_dir):
+    edges = graph(spark, sf_dir).edges
+    old = store.lift_confidence(edges.withColumn("extra", F.lit(None).cast("string")))
+    new = edges.where("kind = 'CONTAINS'").withColumn("extra", F.lit('{"confidence": 0.5}'))
+    return store.upsert_edges(old, new).select("kind", "source", "target", "line", "confidence")
+
+
+@query(f"{GRAPH} SELECT file_path, count(*) AS n FROM (SELECT file_path FROM nodes WHERE file_path NOT IN ('nation/3', 'nation/4') UNION ALL SELECT file_path FROM nodes WHERE file_path = 'nation/3' AND kind = 'Class') AS x GROUP BY 1")
+def replaced_files(spark, sf_dir):
+    """Two files stored anew: one with its classes alone, one with nothing."""
+    g = graph(spark, sf_dir)
+    files = spark.createDataFrame([("nation/3",), ("nation/4",)], "file_path string")
+    made = store.store_files(g, files, g.nodes.where("file_path = 'nation/3' AND kind = 'Class'"), g.edges.limit(0))
+    return made.nodes.groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS key, CASE WHEN n_nationkey = 3 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation")
+def metadata_rows(spark, sf_dir):
+    nation = tables.read(spark, sf_dir, "nation")
+    key = nation.where("n_nationkey = 3").first().n_name
+    return store.set_metadata(nation.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), key, "new")
+
+
+@query(f"{GRAPH}, gone AS (SELECT qualified_name q FROM nodes WHERE file_path LIKE 'part/%') SELECT kind, count(*) AS n FROM edges WHERE file_path NOT LIKE 'part/%' AND source NOT IN (SELECT q FROM gone) AND target NOT IN (SELECT q FROM gone) GROUP BY kind")
+def reconciled_edges(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return analytics.stats_by_edge_kind(store.reconcile(g, g.nodes.where("file_path LIKE 'nation/%'").select("file_path").distinct()))
+
+
+@query(f"{GRAPH} SELECT qualified_name FROM nodes WHERE kind = 'Class'")
+def kept_vectors(spark, sf_dir):
+    nodes = graph(spark, sf_dir).nodes
+    vectors_ = nodes.select("qualified_name", "kind").union(nodes.select(F.concat("qualified_name", F.lit("?")), "kind")).where("kind = 'Class'")
+    return store.purge_orphans(vectors_, nodes).select("qualified_name")
+
+
+@query(f"{GRAPH} SELECT qualified_name, CASE WHEN kind = 'Class' THEN line_start END AS community_id FROM nodes")
+def stored_communities(spark, sf_dir):
+    nodes = graph(spark, sf_dir).nodes
+    members = nodes.where("kind = 'Class'").select("qualified_name", F.col("line_start").alias("community_id"))
+    return communities.store_communities(nodes, members).select("qualified_name", "community_id")
+
+
+@query(f"{GRAPH} SELECT 'nodes' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind")
+def published_graph(spark, sf_dir):
+    """The graph written as a version and read again."""
+    store.publish(graph(spark, sf_dir), root := shared_folder(spark))
+    g = store.load(spark, root)
+    count = lambda df, what: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    return count(g.nodes, "nodes").union(count(g.edges, "edges"))
+
+
+@query(f"{GRAPH} SELECT qualified_name FROM nodes WHERE name = 'Brand#1' AND (file_path LIKE '%/part.java' OR qualified_name LIKE '%part.Brand#1' OR parent_name = 'part')")
+def java_methods(spark, sf_dir):
+    return resolve.java_candidates(graph(spark, sf_dir), "com.acme.part.Brand#1").select("qualified_name")
+
+
+@query(f"""{GRAPH}, t AS (SELECT DISTINCT p.name, e.target, e.file_path FROM edges e JOIN nodes p ON p.qualified_name = e.source WHERE e.kind = 'TESTED_BY'),
+  f AS (SELECT t.name, t.target, t.file_path, count(DISTINCT n.qualified_name) AS n, min(n.qualified_name) AS q FROM t JOIN nodes n ON n.name = t.name AND n.file_path = t.file_path AND n.kind IN ('Function', 'Test', 'Class') GROUP BY ALL)
+  SELECT CASE WHEN n = 1 THEN q ELSE name END AS source, target FROM f""")
+def tested_names(spark, sf_dir):
+    """Tests of bare names: resolved where the file of the edge has one node of that name."""
+    g = graph(spark, sf_dir)
+    names = g.nodes.select(F.col("qualified_name").alias("source"), "name")
+    bare = g.of_kind("TESTED_BY").join(names, "source").select("kind", F.col("name").alias("source"), "target", "file_path", "line").distinct()
+    return resolve.resolve_bare_tests(Graph(g.nodes, bare)).select("source", "target")
+
+
+@query("""WITH p AS (SELECT concat('src/', p_brand, '.py') AS f, p_partkey % 1000 + 1 AS s, p_size % 4 AS c FROM part) SELECT f AS file_path, CAST(s AS BIGINT) AS line_start, CAST(CASE WHEN c = 0 THEN s ELSE s + c - 1 END AS BIGINT) AS line_end FROM p""")
+def diff_hunks(spark, sf_dir):
+    """A hunk for each part, below the header of its brand's file; hunks of one line are written without a count."""
+    part = tables.read(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 1000 + 1).alias("s"), (F.col("p_size") % 4).alias("c"))
+    at = F.concat(F.lit("@@ -1,2 +"), F.col("s").cast("string"), F.when(F.col("c") == 1, "").otherwise(F.concat(F.lit(","), F.col("c").cast("string"))), F.lit(" @@ def f():"))
+    head = part.select("p_brand").distinct().select("p_brand", F.lit(-1).cast("long").alias("k"), F.concat(F.lit("+++ b/src/"), "p_brand", F.lit(".py")).alias("line"))
+    lines = head.union(part.select("p_brand", F.col("p_partkey").cast("long"), at))
+    return changes.parse_unified_diff(lines.select(F.col("p_brand").alias("diff"), F.col("k").alias("n"), "line")).select("file_path", "line_start", "line_end")
+
+
+# Flows by their nodes
+
+
+def stored_flows(spark, sf_dir):
+    g = chain(spark, sf_dir)
+    return flows.flow_rows(g, flows.trace_flows(g))
+
+
+NEAR = "conv/1/0::t0"
+
+
+@query(f"{CHAIN}, {ENTRIES}, {CALLED}, {STEPS} SELECT DISTINCT entry FROM long WHERE node IN (SELECT qualified_name FROM nodes WHERE file_path IN ('conv/1/0', 'conv/2/1'))")
+def flows_of_nodes(spark, sf_dir):
+    return flows.flows_of_nodes(stored_flows(spark, sf_dir), chain(spark, sf_dir).nodes.where("file_path IN ('conv/1/0', 'conv/2/1')")).select("entry").distinct()
+
+
+@query(f"{CHAIN}, {ENTRIES}, {CALLED}, {STEPS}, {CRITICALITY} SELECT node AS qualified_name, count(*) AS flows, round(sum(criticality), 4) AS worth FROM (SELECT DISTINCT entry, node FROM long) AS l JOIN scored USING (entry) WHERE node IN (SELECT qualified_name FROM nodes WHERE file_path = 'conv/1/0') GROUP BY node")
+def flow_worth_of_nodes(spark, sf_dir):
+    found = flows.flows_of_nodes(stored_flows(spark, sf_dir), chain(spark, sf_dir).nodes.where("file_path = 'conv/1/0'"))
+    return found.groupBy("qualified_name").agg(F.count("*").alias("flows"), F.round(F.sum("criticality"), 4).alias("worth"))
+
+
+@query(f"{CHAIN}, {ENTRIES}, {CALLED}, {STEPS}, w AS (SELECT min(entry) AS e FROM long) SELECT node AS qualified_name, n.name FROM (SELECT node, min(depth) AS d FROM long WHERE entry = (SELECT e FROM w) GROUP BY node) AS l JOIN nodes n ON n.qualified_name = node")
+def one_flow(spark, sf_dir):
+    g, listed = chain(spark, sf_dir), stored_flows(spark, sf_dir)
+    first = listed.orderBy("entry").first()
+    return flows.flow_by_id(g, listed, first.flow_id).select("qualified_name", "name")
+
+
+# Review
+
+
+@query(f"""{GRAPH}, {ARCS}, {IMPACT}, g AS ({GAPS} AND n.file_path = '{FILE}'), a AS (SELECT count(*) AS n FROM best b JOIN nodes x ON x.qualified_name = b.q WHERE b.q NOT IN (SELECT q FROM seeds))
+  SELECT count(*)::VARCHAR || ' changed functions have no tests' AS message FROM g HAVING count(*) > 0 UNION ALL SELECT n::VARCHAR || ' nodes may be affected' FROM a WHERE n > 20""")
+def review_guidance_rows(spark, sf_dir):
+    return changes.review_guidance(graph(spark, sf_dir), [FILE])
+
+
+@query(f"{GRAPH} SELECT count(*) > 0 AS needed FROM nodes WHERE file_path IN ('nation/1', 'nowhere') AND community_id IS NOT NULL")
+def detection_needed(spark, sf_dir):
+    return spark.range(1).select(F.lit(communities.needs_detection(graph(spark, sf_dir), ["nation/1", "nowhere"])).alias("needed"))
+
+
+# Communities by modularity: SQL has no iteration like it; the tests hold it against brute force
+
+
+@query(None)
+def modularity_communities(spark, sf_dir):
+    return communities.modularity_communities(graph(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, shared_folder
 
 NODES = """
 SELECT 'File' AS kind, n_name AS name, concat('nation/', n_nationkey) AS qualified_name, concat('nation/', n_nationkey) AS file_path,
@@ -119,19 +119,35 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql})
 
 
+#: Where each session's graphs are stored, by application, tables and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, nodes: str, edges: str) -> Graph:
+    """A graph that is made once a session and read from the shared folder by all its queries, with the edges of a kind
+    in a folder of their own, so that operators on one kind read that alone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = shared_folder(spark)
+        run(spark, sf_dir, nodes).write.parquet(f"{path}/nodes")
+        run(spark, sf_dir, edges).write.partitionBy("kind").parquet(f"{path}/edges")
+        _STORED[key] = path
+    return Graph(spark.read.parquet(f"{_STORED[key]}/nodes"), spark.read.parquet(f"{_STORED[key]}/edges").select("kind", "source", "target", "file_path", "line"))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Nations and brands as files, suppliers as classes, customers and parts as functions; lines of orders as edges."""
-    return Graph(run(spark, sf_dir, NODES), run(spark, sf_dir, EDGES))
+    return stored(spark, sf_dir, "graph", NODES, EDGES)
 
 
 def rich_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The same nodes with events and endpoints, and the kinds of edges that the first graph lacks."""
-    return Graph(run(spark, sf_dir, RICH_NODES), run(spark, sf_dir, RICH_EDGES))
+    return stored(spark, sf_dir, "rich", RICH_NODES, RICH_EDGES)
 
 
 def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Turns of conversations as functions that call the next turn."""
-    return Graph(run(spark, sf_dir, CHAIN_NODES), run(spark, sf_dir, CHAIN_EDGES))
+    return stored(spark, sf_dir, "chain", CHAIN_NODES, CHAIN_EDGES)
 
 
 def plain(sql: str) -> str:

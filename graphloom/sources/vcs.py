@@ -7,7 +7,9 @@ import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.graph import Graph
 from graphloom.operators.changes import parse_numstat, parse_unified_diff
 
 
@@ -44,6 +46,24 @@ def working_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in sorted(names)], "path string")
 
 
+def incremental_base(metadata: DataFrame, root: str) -> str | None:
+    """What an incremental update compares with: the commit that metadata(key, value) names as git_head_sha, as long as the
+    repository has it; HEAD~1 where root is no git tree; None where a full build is needed."""
+    if not (Path(root) / ".git").exists():
+        return "HEAD~1"
+    stored = metadata.where("key = 'git_head_sha' AND value IS NOT NULL").first()
+    return stored.value if stored and _run(["git", "cat-file", "-t", stored.value], root).strip() == "commit" else None
+
+
+def check_root(graph: Graph, root: str) -> None:
+    """Raises where the graph has files, none of them below root: it was built elsewhere, and an update would remove all."""
+    files = graph.nodes.where("kind = 'File'").select(F.replace("file_path", F.lit("\\"), F.lit("/")).alias("f"))
+    own = root.replace("\\", "/").rstrip("/") + "/"
+    seen = files.agg(F.count("*").alias("n"), F.min("f").alias("first"), F.coalesce(F.bool_or(F.col("f").startswith(own)), F.lit(False)).alias("below")).first()
+    if seen.n and not seen.below:
+        raise RuntimeError(f"the graph's {seen.n} files, such as {seen.first}, are not below {root}: build it anew, or name the root that it was built with")
+
+
 def diff_ranges(spark: SparkSession, root: str, base: str = "HEAD~1") -> DataFrame:
     svn = (Path(root) / ".svn").exists()
     text = _run(["svn", "diff", "-r", base] if svn else ["git", "diff", "--unified=0", base], root)

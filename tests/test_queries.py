@@ -51,8 +51,13 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
 
 
 def test_plans_are_pruned_and_pushed_down(spark):
+    from graphloom.graph import Graph
     from graphloom.operators import store
     from graphloom.sources import tables
 
-    plan = store.nodes_by_kind(tables.graph(spark, SF), ("Class",)).select("qualified_name")._jdf.queryExecution().executedPlan().toString()
-    assert "s_acctbal" not in plan and "customer.parquet" not in plan
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = Graph(tables.run(spark, SF, tables.NODES), tables.run(spark, SF, tables.EDGES))
+    text = plan(store.nodes_by_kind(made, ("Class",)).select("qualified_name"))
+    assert "s_acctbal" not in text and "customer.parquet" not in text
+    text = plan(tables.graph(spark, SF).of_kind("CALLS").where("line > 5").select("source"))
+    assert "PartitionFilters: [isnotnull(kind" in text and "GreaterThan(line,5)" in text and "target" not in text.split("ReadSchema")[1]
