@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one row of it: later stages would cut every copy of the text of rows that repeat."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
     dropped = durable(found.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct())
-    return drop_copies(docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti"))
+    return drop_copies(docs).join(dropped, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti")
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,10 +63,12 @@ class ChunkEncoder:
     """
 
     def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000, folds: bool = False, whole=None):
-        """tokenizer takes the strings of added tokens for ordinary text, whole (if any) for tokens; folds: both take lower
-        case, so ASCII texts are lowered before chunks are looked up."""
+        """tokenizer takes the strings of added tokens for ordinary text; whole (if any) gives one that takes them for
+        tokens, and is called when a text has one; folds: both take lower case, so ASCII texts are lowered before chunks
+        are looked up."""
         self.tokenizer, self.chunks, self.most, self.folds, self.whole = tokenizer, chunks, most, folds, whole
-        added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()] if whole else []
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if whole else []
+        added, self.mark = [re.escape(n) for n in names], os.path.commonprefix([n.lower() for n in names] + [n.upper() for n in names])
         self.added = re.compile("|".join(added), re.I) if added else None
         self._forget()
 
@@ -102,14 +104,14 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind another, and the number of ids of each text."""
-        special = [k for k, t in enumerate(texts) if self.added and self.added.search(t)]
+        special = [k for k, t in enumerate(texts) if self.mark in t and self.added.search(t)] if self.added else []
         if not special:
             return self._by_chunks(texts)
         others = set(special)
         ids, counts = self._by_chunks([t for k, t in enumerate(texts) if k not in others])
         parts = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
         for k in special:
-            parts.insert(k, np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32))
+            parts.insert(k, np.array(self.whole().encode(texts[k], add_special_tokens=False).ids, np.uint32))
         return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _by_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ class ChunkEncoder:
 @functools.lru_cache(maxsize=4)
 def encoder_for(path: str, chunks: re.Pattern = CHUNK) -> ChunkEncoder:
     """One encoder for each worker process, so its table outlives a task."""
-    return ChunkEncoder(load(path, ordinary=True), chunks, folds=chunks == WORD_CHUNK, whole=load(path))
+    return ChunkEncoder(load(path, ordinary=True), chunks, folds=chunks == WORD_CHUNK, whole=functools.lru_cache(lambda: load(path)))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
