@@ -51,7 +51,7 @@ def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
     model = t.models.BPE(vocab={name(k): v for k, v in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], ignore_merges=True)
     made = t.Tokenizer(model)
     made.pre_tokenizer = t.pre_tokenizers.Sequence([t.pre_tokenizers.Split(t.Regex(pattern), "isolated"), t.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return ChunkEncoder(made, most=500_000)
+    return ChunkEncoder(made, most=250_000)
 
 
 class ByteTable:
