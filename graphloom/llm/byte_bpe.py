@@ -51,7 +51,7 @@ def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
     model = t.models.BPE(vocab={name(k): v for k, v in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], ignore_merges=True)
     made = t.Tokenizer(model)
     made.pre_tokenizer = t.pre_tokenizers.Sequence([t.pre_tokenizers.Split(t.Regex(pattern), "isolated"), t.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return ChunkEncoder(made, most=250_000)
+    return ChunkEncoder(made, most=500_000)
 
 
 class ByteTable:
@@ -81,23 +81,32 @@ def character_starts(data: np.ndarray) -> np.ndarray:
     return np.cumsum((data & 0xC0) != 0x80) - 1
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, offsets: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text to doc_id, ids and, unless left out, offsets."""
+    encoder, (as_bytes, _) = rank_encoder(ranks_path, pattern), tables(ranks_path)
+    for doc_ids, texts in text_slices(batches):
+        ids, counts = encoder(texts)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        columns = {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))}
+        if offsets:
+            data, ends = as_bytes(ids)
+            begins, character = ends - as_bytes.lengths[ids], character_starts(data)
+            first = np.repeat(np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1], counts)
+            columns["offsets"] = pa.ListArray.from_arrays(bounds, pa.array((character[begins] - first).astype(np.int32) if len(ids) else np.empty(0, np.int32)))
+        yield pa.record_batch(list(columns.values()), list(columns))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = True) -> DataFrame:
     """doc_id, ids array<int>; with offsets also the character where each id begins (of a split character: its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (as_bytes, _) = rank_encoder(ranks_path, pattern), tables(ranks_path)
-        for doc_ids, texts in text_slices(batches):
-            ids, counts = encoder(texts)
-            bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            columns = {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))}
-            if offsets:
-                data, ends = as_bytes(ids)
-                begins, character = ends - as_bytes.lengths[ids], character_starts(data)
-                first = np.repeat(np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1], counts)
-                columns["offsets"] = pa.ListArray.from_arrays(bounds, pa.array((character[begins] - first).astype(np.int32) if len(ids) else np.empty(0, np.int32)))
-            yield pa.record_batch(list(columns.values()), list(columns))
+        return encoded_batches(batches, ranks_path, pattern, offsets)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets)
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets)
 
 
 def decoded(lists: pa.ListArray, table: ByteTable) -> list[bytes]:
@@ -120,18 +129,35 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary, text string")
 
 
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digested_batches(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ids to the columns of DIGEST; the ids are decoded for them."""
+    as_bytes, as_digits = tables(ranks_path)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for whole in batches:
+        for b in (whole.slice(k, 100) for k in range(0, whole.num_rows, 100)):
+            lists = b.column(1)
+            yield pa.record_batch([b.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array([sha(x[:-1]) for x in decoded(lists, as_digits)]), pa.array([sha(x) for x in decoded(lists, as_bytes)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_bytes, as_digits = tables(ranks_path)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for whole in batches:
-            for b in (whole.slice(k, 100) for k in range(0, whole.num_rows, 100)):
-                lists = b.column(1)
-                yield pa.record_batch([b.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array([sha(x[:-1]) for x in decoded(lists, as_digits)]), pa.array([sha(x) for x in decoded(lists, as_bytes)])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return digested_batches(batches, ranks_path)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What digest gives for encode(docs), both in one worker: one process and no ids between two of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return digested_batches(encoded_batches(batches, ranks_path, pattern), ranks_path)
+
+    return _texts(docs).mapInArrow(run, DIGEST)
 
 
 def stream_text(pieces: Iterator[bytes]) -> Iterator[str]:

@@ -22,8 +22,7 @@ def op3_token_files(spark, sf_dir):
 
 
 def op4_byte_bpe(spark, sf_dir):
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_substring(spark, sf_dir):
