@@ -139,9 +139,9 @@ class Trie:
         EliasFano.of(contexts).save(folder, "contexts")
         above = len(contexts)
         for k, (parent, word, codes, weights) in enumerate(levels, 2):
-            vocabulary = np.unique(word)
-            rank = np.searchsorted(vocabulary, word).astype(np.uint64)
-            pointers = np.searchsorted(parent, np.arange(above + 1))
+            vocabulary, rank = np.unique(word, return_inverse=True)
+            rank = rank.astype(np.uint64)
+            pointers = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=above))])
             # The largest rank of each parent's children, and one, moves all that come behind.
             full = np.flatnonzero(np.diff(pointers))
             step = np.zeros(above + 1, np.uint64)

@@ -40,8 +40,6 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bytes of a last word's hash that are sent: on the second level, whose contexts may have many, and on the others.
 WIDTHS = (5, 4)
 HOT_SHARE = 4096
-#: Words whose hashes a worker process remembers; all three passes look them up.
-TABLE = 1_000_000
 SHARD = [("dest", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("docs", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]
 SHARD_DDL = "dest int, n long, total long, docs long, words binary, counts binary"
 #: A bucket's words are contexts too; contexts has the hot ones beside them. By levels from the second on: how many children each node above has, their last words, their training counts.
@@ -78,7 +76,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
         for doc_ids, texts in text_slices(batches):
             learn = [t for i, t in zip(doc_ids.to_pylist(), texts, strict=True) if not is_held_out(i)]
             n_docs += len(learn)
-            held.append(hashed(learn, lower=True, most=TABLE)[0])
+            held.append(hashed(learn, lower=True)[0])
             size += len(held[-1])
             if size > 1_500_000:
                 yield out()
@@ -115,7 +113,7 @@ class Requests:
         self.batch = table["batch"][0].as_py()
         table = unpacked(table)
         self.doc_ids = table["doc_id"]
-        flat, counts = hashed(table["text"].to_pylist(), lower=True, most=TABLE)
+        flat, counts = hashed(table["text"].to_pylist(), lower=True)
         self.held = np.array([is_held_out(i) for i in self.doc_ids.to_pylist()])
         ends = np.cumsum(counts)
         # Each document is its words and an end mark; its contexts are a begin mark and its words.
@@ -258,9 +256,11 @@ class Shard:
         for k in np.flatnonzero(np.isin(contexts, about.hot)):
             of_context[k] = about.hot_counts[int(contexts[k])]
         merged = []
-        for parents, last, seen in zip(asked.parents, asked.last, asked.seen, strict=True):
-            parent = above[parents]
-            order = np.lexsort((last, parent))
+        for k, (parents, last, seen) in enumerate(zip(asked.parents, asked.last, asked.seen, strict=True), 2):
+            parent, bits = above[parents], 8 * width_of(k)
+            # One number for both, where they fit.
+            fit = len(parent) and int(parent.max()) >> (64 - bits) == 0
+            order = np.argsort(parent.astype(np.uint64) << np.uint64(bits) | last) if fit else np.lexsort((last, parent))
             p, w = parent[order], last[order]
             new = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]) if len(p) else np.zeros(0, bool)
             above = np.empty(len(p), np.int64)

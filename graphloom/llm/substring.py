@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, docs_per_batch: int = 1024, tex
         gone = spread(start, 0, n - 1)
         lost, shas, kept = [], [], []
         for t, e, c in zip(b.texts, b.ends.tolist(), b.counts.tolist(), strict=True):
-            words, out = split_words(t, lower=False), gone[e - c : e]
+            words, out = split_words(t), gone[e - c : e]
             left = b" ".join(words) if not out.any() else b" ".join([words[k] for k in np.flatnonzero(~out)])
             lost.append(int(out.sum()))
             shas.append(hashlib.sha256(left).hexdigest())

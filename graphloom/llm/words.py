@@ -6,8 +6,7 @@ bytes.split() separates.
 
 from __future__ import annotations
 
-import functools
-from itertools import chain
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +21,58 @@ LEFT = np.uint64(0x9E3779B97F4A7C15)
 RIGHT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """Word to hash; emptied when it passes `most` words, so memory is bounded."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-@functools.lru_cache(maxsize=1)
-def word_hashes(most: int) -> WordHashes:
-    """One table for each worker process."""
-    return WordHashes(most)
-
-
-def split_words(text: str | None, lower: bool) -> list[bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
-
-
-def hashed(texts: list[str | None], lower: bool, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts, one behind another, and the number of words of each text."""
-    find, per_text = word_hashes(most).__getitem__, [split_words(t, lower) for t in texts]
-    counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-    flat = np.fromiter(map(find, chain.from_iterable(per_text)), np.uint64, int(counts.sum()))
-    return flat, counts
+#: What bytes.split() takes for white space, as a table of what stands in a word, and as a pattern.
+IN_WORD = bytes(c not in b" \t\n\r\x0b\x0c" for c in range(256))
+BETWEEN = re.compile(rb"[ \t\n\r\x0b\x0c]")
+LOWER = bytes(range(256)).lower()
+#: The first k of eight bytes.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def split_words(text: str | None) -> list[bytes]:
+    return as_bytes(text).split()
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data begins, and its hash: its length and its bytes, eight at a time, mixed into one another."""
+    inside = np.frombuffer(b"\0" + data.translate(IN_WORD) + b"\0", np.uint8)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    out = mix(eight[starts] & FIRST[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) * LEFT)
+    for k in range(8, LONG, 8):
+        at = np.flatnonzero(lengths > k)
+        if not at.size:
+            break
+        out[at] = mix(out[at] * RIGHT ^ eight[starts[at] + k] & FIRST[np.minimum(lengths[at] - k, 8)])
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return starts, out
+
+
+def hashed(texts: list[str | None], lower: bool, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, one behind another, and the number of words of each text; read in pieces of whole
+    words, of about `most` bytes."""
+    raw = [as_bytes(t) for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    whole = b"\n".join(raw)
+    if lower:
+        whole = whole.translate(LOWER)
+    begins, found, a = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while a < len(whole):
+        cut = BETWEEN.search(whole, a + most)
+        b = cut.start() if cut else len(whole)
+        starts, hashes = _hashes(whole[a:b])
+        begins.append(starts + a)
+        found.append(hashes)
+        a = b
+    return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(begins), ends), prepend=0)
 
 
 def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
