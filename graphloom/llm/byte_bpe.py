@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,8 +97,8 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern:
         yield pa.record_batch(list(columns.values()), list(columns))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+#: Of what encode returned: its texts, and how they become ids.
+_made: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = True) -> DataFrame:
@@ -106,7 +107,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return encoded_batches(batches, ranks_path, pattern, offsets)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets)
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    encoded = plain.mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets)
+    _made[encoded] = (plain, run)
+    return encoded
 
 
 def decoded(lists: pa.ListArray, table: ByteTable) -> list[bytes]:
@@ -143,21 +147,14 @@ def digested_batches(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iter
 
 
 def digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents. Straight from encode, both run in one worker, so
+    that no ids go from one process to another."""
+    source, make = _made.get(encoded, (None, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return digested_batches(batches, ranks_path)
+        return digested_batches(make(batches) if make else batches, ranks_path)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
-
-
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """What digest gives for encode(docs), both in one worker: one process and no ids between two of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return digested_batches(encoded_batches(batches, ranks_path, pattern), ranks_path)
-
-    return _texts(docs).mapInArrow(run, DIGEST)
+    return (encoded.select("doc_id", "ids") if source is None else source).mapInArrow(run, DIGEST)
 
 
 def stream_text(pieces: Iterator[bytes]) -> Iterator[str]:
