@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.graph import Graph, shared_folder
-from graphloom.operators import analytics, changes, communities, embeddings, exports, flows, patterns, refactor, resolve, search, store, summaries, traverse
+from graphloom.operators import analytics, changes, communities, embeddings, evaluate, exports, flows, patterns, refactor, resolve, search, store, summaries, traverse
 from graphloom.sources import tables
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -1113,6 +1113,45 @@ def detection_needed(spark, sf_dir):
     return spark.range(1).select(F.lit(communities.needs_detection(graph(spark, sf_dir), ["nation/1", "nowhere"])).alias("needed"))
 
 
+# Measures of whole runs
+
+
+@query(f"""{GRAPH}, g AS ({GAPS.replace("n.qualified_name FROM", "n.file_path, n.name FROM")}), f AS (SELECT file_path, list(name ORDER BY name) AS l, round(least(count(*) / 20, 1), 2) AS r FROM g GROUP BY file_path),
+  w AS (SELECT file_path, 1 AS k, 'Test coverage gaps: ' || array_to_string(l[1:5], ', ') AS warning FROM f UNION ALL SELECT file_path, 2, 'High risk score (' || printf('%.2f', r) || ') — review carefully' FROM f WHERE r > 0.7 UNION ALL SELECT file_path, 3, 'large file' FROM f WHERE len(l) > 8)
+  SELECT file_path, string_agg(warning, '; ' ORDER BY k) AS warnings FROM w GROUP BY file_path""")
+def result_warnings(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    tested = g.of_kind("TESTED_BY").select(F.col("source").alias("qualified_name"))
+    open_ = g.nodes.where("kind = 'Function' AND NOT is_test").join(tested, "qualified_name", "left_anti")
+    files = open_.groupBy("file_path").agg(F.sort_array(F.collect_list("name")).alias("gaps"), F.round(F.least(F.count("*") / 20, F.lit(1.0)), 2).alias("risk"))
+    notes = F.when(F.size("gaps") > 8, F.array(F.lit("large file")))
+    return files.select("file_path", F.array_join(evaluate.warnings(F.col("gaps"), F.col("risk"), notes), "; ").alias("warnings"))
+
+
+KNOWN = ["0", "1", "nowhere"]
+
+
+@query(f"""{CHAIN}, {ENTRIES}, {CALLED}, {STEPS}, d AS (SELECT entry, max(depth) AS depth FROM long GROUP BY entry), k AS (SELECT unnest({KNOWN}) AS name),
+  h AS (SELECT count(*) AS n FROM k WHERE EXISTS (SELECT 1 FROM d WHERE contains(entry, name)))
+  SELECT 3 AS known_entry_points, n AS detected_entry_points, round(n / 3, 3) AS recall, (SELECT count(*) FROM d) AS detected_flows, (SELECT coalesce(round(avg(depth), 1), 0) FROM d) AS avg_flow_depth, (SELECT coalesce(max(depth), 0) FROM d) AS max_flow_depth FROM h""")
+def flow_recall(spark, sf_dir):
+    listed = flows.trace_flows(chain(spark, sf_dir)).groupBy("entry").agg(F.max("depth").alias("depth"))
+    return evaluate.flow_recall(listed, KNOWN)
+
+
+@query(f"""{GRAPH}, m AS (SELECT file_path AS task, qualified_name, row_number() OVER (PARTITION BY file_path ORDER BY qualified_name) - 1 AS rank FROM nodes WHERE kind <> 'File'),
+  t AS (SELECT DISTINCT file_path AS task FROM nodes), f AS (SELECT task, min(rank) AS rank FROM m WHERE qualified_name LIKE '%1' AND rank < 10 GROUP BY task),
+  x AS (SELECT m.* FROM m JOIN f USING (task, rank)), near AS (SELECT DISTINCT x.task, e.target, lower(n.name) AS name FROM x JOIN edges e ON e.kind = 'CALLS' AND e.source = x.qualified_name JOIN nodes n ON n.qualified_name = e.target),
+  c AS (SELECT t.task, count(near.target) AS n, count(DISTINCT name) FILTER (name IN ('supplier#000000001', 'supplier#000000002')) AS hit FROM t LEFT JOIN near USING (task) GROUP BY t.task)
+  SELECT task, x.rank IS NOT NULL AS anchor_found, coalesce(x.rank, -1) AS anchor_rank, n AS neighbor_count, 2 AS expected_count, hit AS matched_count, round(hit / 2, 3) AS neighbor_recall FROM c LEFT JOIN x USING (task)""")
+def multi_hop_recall(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    inside = g.nodes.where("kind <> 'File'")
+    ranked = inside.select(F.col("file_path").alias("task"), "qualified_name", (F.row_number().over(Window.partitionBy("file_path").orderBy("qualified_name")) - 1).alias("rank"))
+    asked = g.nodes.select(F.col("file_path").alias("task")).distinct().select("task", F.lit("1").alias("suffix"), F.array(F.lit("Supplier#000000001"), F.lit("SUPPLIER#000000002")).alias("expected"))
+    return evaluate.multi_hop_recall(g, asked, ranked.where("rank < 10"), incoming=False)
+
+
 # Communities by modularity: SQL has no iteration like it; the tests hold it against brute force
 
 
