@@ -1133,7 +1133,7 @@ KNOWN = ["0", "1", "nowhere"]
 
 @query(f"""{CHAIN}, {ENTRIES}, {CALLED}, {STEPS}, d AS (SELECT entry, max(depth) AS depth FROM long GROUP BY entry), k AS (SELECT unnest({KNOWN}) AS name),
   h AS (SELECT count(*) AS n FROM k WHERE EXISTS (SELECT 1 FROM d WHERE contains(entry, name)))
-  SELECT 3 AS known_entry_points, n AS detected_entry_points, round(n / 3, 3) AS recall, (SELECT count(*) FROM d) AS detected_flows, (SELECT coalesce(round(avg(depth), 1), 0) FROM d) AS avg_flow_depth, (SELECT coalesce(max(depth), 0) FROM d) AS max_flow_depth FROM h""")
+  SELECT 3 AS known_entry_points, n::INTEGER AS detected_entry_points, round(n / 3, 3) AS recall, (SELECT count(*) FROM d) AS detected_flows, (SELECT coalesce(round(avg(depth), 1), 0) FROM d) AS avg_flow_depth, (SELECT coalesce(max(depth), 0) FROM d) AS max_flow_depth FROM h""")
 def flow_recall(spark, sf_dir):
     listed = flows.trace_flows(chain(spark, sf_dir)).groupBy("entry").agg(F.max("depth").alias("depth"))
     return evaluate.flow_recall(listed, KNOWN)
@@ -1143,7 +1143,7 @@ def flow_recall(spark, sf_dir):
   t AS (SELECT DISTINCT file_path AS task FROM nodes), f AS (SELECT task, min(rank) AS rank FROM m WHERE qualified_name LIKE '%1' AND rank < 10 GROUP BY task),
   x AS (SELECT m.* FROM m JOIN f USING (task, rank)), near AS (SELECT DISTINCT x.task, e.target, lower(n.name) AS name FROM x JOIN edges e ON e.kind = 'CALLS' AND e.source = x.qualified_name JOIN nodes n ON n.qualified_name = e.target),
   c AS (SELECT t.task, count(near.target) AS n, count(DISTINCT name) FILTER (name IN ('supplier#000000001', 'supplier#000000002')) AS hit FROM t LEFT JOIN near USING (task) GROUP BY t.task)
-  SELECT task, x.rank IS NOT NULL AS anchor_found, coalesce(x.rank, -1) AS anchor_rank, n AS neighbor_count, 2 AS expected_count, hit AS matched_count, round(hit / 2, 3) AS neighbor_recall FROM c LEFT JOIN x USING (task)""")
+  SELECT task, x.rank IS NOT NULL AS anchor_found, coalesce(x.rank, -1)::INTEGER AS anchor_rank, n AS neighbor_count, 2 AS expected_count, hit AS matched_count, round(hit / 2, 3) AS neighbor_recall FROM c LEFT JOIN x USING (task)""")
 def multi_hop_recall(spark, sf_dir):
     g = graph(spark, sf_dir)
     inside = g.nodes.where("kind <> 'File'")
