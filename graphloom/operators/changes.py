@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, rounded
+from graphloom.graph import Graph, large, rounded
 from graphloom.operators.flows import SECURITY_WORDS, affected_flows, criticality
 from graphloom.operators.traverse import impact_radius, test_counts
 
@@ -52,16 +52,18 @@ def node_at(graph: Graph, cursors: DataFrame) -> DataFrame:
     return inside.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "f")
 
 
-def risk(graph: Graph, nodes: DataFrame, flow_scores: DataFrame | None = None, churn: DataFrame | None = None) -> DataFrame:
+def risk(graph: Graph, nodes: DataFrame, flow_scores: DataFrame | None = None, churn: DataFrame | None = None, many: bool = False) -> DataFrame:
     """nodes with risk_score: flows up to .25, callers of other communities .15, missing tests (also of what they contain
     and call) .30 down to .05, security .20, callers .10, churn .15. flow_scores(node, criticality) has a row for each flow
-    that passes a node: the sum of what is known counts, or .05 for each flow; churn(path, commits)."""
-    own = nodes.select("qualified_name", "name", "file_path", "community_id")
+    that passes a node: the sum of what is known counts, or .05 for each flow; churn(path, commits). many: nodes grow
+    with the graph, so no join may send them through the driver."""
+    sized = large if many else lambda df: df
+    own = sized(nodes.select("qualified_name", "name", "file_path", "community_id"))
     calls = graph.of_kind("CALLS").select(F.col("source").alias("caller"), F.col("target").alias("qualified_name")).join(own.select("qualified_name"), "qualified_name", "left_semi")
     callers = calls.groupBy("qualified_name").agg(F.count("*").alias("callers"))
     community = graph.nodes.select(F.col("qualified_name").alias("caller"), F.col("community_id").alias("cc"))
-    crossing = calls.distinct().join(community, "caller").join(own.select("qualified_name", "community_id"), "qualified_name").where("cc <> community_id").groupBy("qualified_name").agg(F.count("*").alias("crossing"))
-    tests = test_counts(graph, nodes)
+    crossing = calls.distinct().join(large(community), "caller").join(own.select("qualified_name", "community_id"), "qualified_name").where("cc <> community_id").groupBy("qualified_name").agg(F.count("*").alias("crossing"))
+    tests = sized(test_counts(graph, nodes, many=many))
     joined = own.join(callers, "qualified_name", "left").join(crossing, "qualified_name", "left").join(tests, "qualified_name", "left")
     if flow_scores is not None:
         joined = joined.join(flow_scores.groupBy(F.col("node").alias("qualified_name")).agg(F.coalesce(F.sum("criticality"), F.count("*") * 0.05).alias("flow")), "qualified_name", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema as S
-from graphloom.graph import Graph, durable, lookup, rounded
+from graphloom.graph import Graph, durable, large, lookup, rounded
 from graphloom.functions.text import file_of
 
 #: Hops that are left in one plan.
@@ -114,22 +114,24 @@ def transitive_tests(graph: Graph, names: list[str], max_depth: int = 1, max_fro
     return found.join(graph.nodes, found.test == graph.nodes.qualified_name).select("test", "hops", "file_path")
 
 
-def test_counts(graph: Graph, nodes: DataFrame, max_frontier: int = 50) -> DataFrame:
+def test_counts(graph: Graph, nodes: DataFrame, max_frontier: int = 50, many: bool = False) -> DataFrame:
     """nodes(qualified_name, kind, file_path) to (qualified_name, tests): how many known tests each has by itself, by what
     it contains (a class its members, a file its classes and functions), or by what those call, of which the first
-    max_frontier by name count. Edges with unresolved ends don't count; every node is answered on its own."""
-    own = nodes.select(F.col("qualified_name").alias("of"), "kind", "file_path").distinct()
+    max_frontier by name count. Edges with unresolved ends don't count; every node is answered on its own. many:
+    nodes grow with the graph, so no join may send them through the driver."""
+    sized = large if many else lambda df: df
+    own = sized(nodes.select(F.col("qualified_name").alias("of"), "kind", "file_path").distinct())
     inside = graph.of_kind("CONTAINS").join(own.where("kind = 'Class'").select(F.col("of").alias("source")), "source").select(F.col("source").alias("of"), F.col("target").alias("q"))
     symbols = graph.nodes.where(F.col("kind").isin("Class", "Function", "Method")).select("file_path", F.col("qualified_name").alias("q"))
     of_files = own.where("kind = 'File'").join(symbols, "file_path").select("of", "q")
-    start = own.select("of", F.col("of").alias("q")).union(inside).union(of_files).distinct()
+    start = sized(own.select("of", F.col("of").alias("q")).union(inside).union(of_files).distinct())
     calls, tested = graph.of_kind("CALLS"), graph.of_kind("TESTED_BY")
     if "extra" in graph.edges.columns:
         tested = tested.where(~F.coalesce(F.col("extra"), F.lit("")).rlike("ambiguous_targets|unresolved_targets"))
-    known = graph.nodes.select(F.col("qualified_name").alias("target"))
+    known = large(graph.nodes.select(F.col("qualified_name").alias("target")))
     callees = start.join(calls.select(F.col("source").alias("q"), "target").distinct(), "q").join(known, "target", "left_semi").select("of", F.col("target").alias("q")).distinct().join(start, ["of", "q"], "left_anti")
     first = callees.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("q"))).where(F.col("n") <= max_frontier).drop("n")
-    tests = start.union(first).join(tested.select(F.col("source").alias("q"), "target").distinct(), "q").join(known, "target", "left_semi")
+    tests = start.union(first).join(large(tested.select(F.col("source").alias("q"), "target").distinct()), "q").join(known, "target", "left_semi")
     return tests.groupBy(F.col("of").alias("qualified_name")).agg(F.countDistinct("target").alias("tests"))
 
 
