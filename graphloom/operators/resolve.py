@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import file_of
-from graphloom.graph import Graph
+from graphloom.graph import Graph, large
 
 CANDIDATES = 20
 
@@ -23,9 +23,10 @@ def resolve_bare_endpoints(graph: Graph, kind: str, endpoint: str) -> DataFrame:
     nodes = graph.nodes.where(F.col("kind").isin("Function", "Test", "Class")).select("name", "qualified_name", F.col("file_path").alias("home"))
     imports = graph.of_kind("IMPORTS_FROM").select(F.col("file_path").alias("context"), file_of(F.col("target")).alias("home")).distinct()
     imports = imports.union(bare.select("context", F.col("context").alias("home"))).distinct()
-    supported = bare.join(nodes, "name").join(imports, ["context", "home"], "left_semi")
+    # The file and the name at once: a name that many files have would meet all its nodes.
+    supported = bare.join(imports, "context").join(large(nodes), ["name", "home"])
     found = supported.groupBy("_id").agg(F.array_sort(F.collect_set("qualified_name")).alias("names"))
-    joined = edges.join(found, "_id", "left")
+    joined = edges.join(large(found), "_id", "left")
     new = F.when(F.size("names") == 1, F.col("names")[0]).otherwise(F.col(endpoint))
     ambiguous = F.when(F.size("names") > 1, F.slice("names", 1, CANDIDATES))
     return joined.withColumn(endpoint, new).withColumn("ambiguous_targets", ambiguous).drop("_id", "names")

@@ -13,3 +13,7 @@ def plan(df):
 
 def test_risk_sends_no_table_through_the_driver(spark):
     assert "BroadcastExchange" not in plan(QUERIES["node_risk"][0](spark, SF))
+
+
+def test_names_and_nodes_are_not_sent_through_the_driver(spark):
+    assert "BroadcastExchange" not in plan(QUERIES["tested_names"][0](spark, SF))
