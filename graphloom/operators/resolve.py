@@ -130,10 +130,23 @@ def resolve_temporal_calls(graph: Graph) -> DataFrame:
 
 def event_calls(graph: Graph) -> DataFrame:
     """Derived CALLS from each publisher of an event to each of its listeners (confidence .95, INFERRED); earlier derived
-    ones are dropped first."""
-    publishes = graph.of_kind("PUBLISHES").select(F.col("target").alias("event"), "source", "file_path", "line")
-    handles = graph.of_kind("HANDLES").select(F.col("target").alias("event"), F.col("source").alias("target"))
-    pairs = publishes.join(handles, "event").groupBy("source", "target", "file_path", "line").agg(F.min("event").alias("event"))
+    ones are dropped first. Publishers of the same events are a class, as are listeners to the same ones; blocks of both
+    meet, and are opened only in the task that gives the rows, so no pair is shuffled or compared."""
+    spark = graph.edges.sparkSession
+
+    def blocks(ends: DataFrame, events: str, i: str, *columns: str) -> DataFrame:
+        """(events, i, members): the rows of a class in some 256 a block."""
+        sizes = ends.groupBy(events).agg(F.ceil(F.count("*") / 256).alias("n"))
+        dealt = ends.join(sizes, events).withColumn(i, F.pmod(F.xxhash64(*columns), F.col("n")))
+        return dealt.groupBy(events, i).agg(F.collect_list(F.struct(*columns)).alias(f"{events}_by"))
+
+    publishes = graph.of_kind("PUBLISHES").groupBy("source", "file_path", "line").agg(F.array_sort(F.collect_set("target")).alias("said"))
+    handles = graph.of_kind("HANDLES").groupBy(F.col("source").alias("target")).agg(F.array_sort(F.collect_set("target")).alias("heard"))
+    opened = lambda ends, events: ends.select(events).distinct().select(events, F.explode(events).alias("event"))
+    met = opened(publishes, "said").join(opened(handles, "heard"), "event").groupBy("said", "heard").agg(F.min("event").alias("event"))
+    both = met.join(blocks(publishes, "said", "i", "source", "file_path", "line"), "said").join(blocks(handles, "heard", "j", "target"), "heard")
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "said", "i", "heard", "j")
+    pairs = both.select("event", F.explode("said_by").alias("p"), "heard_by").select("event", "p.*", F.explode("heard_by").alias("h")).select("event", "source", "file_path", "line", "h.target")
     made = pairs.select(F.lit("CALLS").alias("kind"), "source", "target", "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("INFERRED").alias("confidence_tier"), F.to_json(F.struct(F.lit("event").alias("derived"), "event")).alias("extra"))
     kept = graph.edges.where(~F.coalesce(F.get_json_object("extra", "$.derived") == "event", F.lit(False))) if "extra" in graph.edges.columns else graph.edges
     return kept.unionByName(made, allowMissingColumns=True)
