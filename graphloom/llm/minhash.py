@@ -123,35 +123,57 @@ def splittable(one: DataFrame, key: str) -> DataFrame:
     return one.withColumn(key, F.expr(f"{key} ^ 0L"))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges (a, b) every node but the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while (root[x] != root[y]).any():
+        one, other = root[x], root[y]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root[root] != root).any():
+            root = root[root]
+    low = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[low], nodes[root[low]]
+
+
+def starred(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """edges(a, b) to edges (u, v) from the larger to the smaller node that join the same nodes: each task makes stars of
+    its own edges, `most` at a time, so that a hub comes once from each task and long paths get short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            n += b.num_rows
+            if n >= most:
+                yield made(held)
+                held, n = [], 0
+        if n:
+            yield made(held)
+
+    def made(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.record_batch(list(forest(*[np.concatenate(c) for c in zip(*held, strict=True)])), ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to node, component (the smallest node reachable), by alternating large and small stars.
 
-    Each round is cut off in the checkpoint folder. A hub's edges meet its minimum by an aggregate and a join that can be
-    split.
+    Each round is cut off in the checkpoint folder, and the rounds end when no node with a smaller neighbour has a second
+    one. A hub's edges meet its minimum by an aggregate and a join that can be split.
     """
-
-    def directed(e: DataFrame) -> DataFrame:
-        return e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    edges = durable(directed(edges))
-    before = mark(edges)
-    while before[0]:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(splittable(down, "u"), "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = durable(small)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    edges = durable(starred(edges.select("a", "b")))
+    while True:
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("high")))
+        if least.where("m < u AND m < high").isEmpty():
+            return least.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+        least = splittable(least.select("u", F.least("u", "m").alias("m")), "u")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = splittable(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        edges = durable(starred(small))
 
 
 def prefix_pairs(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -216,9 +238,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int =
     placed = durable(placed.join(splittable(main, "key"), "key").groupBy(F.col("rep").alias("id"), "c").agg(F.max(F.col("c") != F.col("main")).alias("out")))
     across = durable(prefix_pairs(placed, texts, words, percent).join(stars, ["a", "b"], "left_anti"))
     further = durable(verify(across, texts, words, percent))
+    of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
     if not further.isEmpty():
-        joined = components(links.union(further))
+        # Further links join whole components.
+        for side in ("a", "b"):
+            of = splittable(joined.select(F.col("node").alias(side), F.col("component").alias("c")), side)
+            further = further.join(of, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+        moved = splittable(components(further).select(F.col("node").alias("component_id"), F.col("component").alias("last")), "component_id")
+        of_class = of_class.join(moved, "component_id", "left").select("d", F.coalesce("last", "component_id").alias("component_id"))
 
-    of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
     out = sketched.join(of_class, (sketched.digest == of_class.d) & sketched.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

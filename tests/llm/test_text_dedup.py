@@ -92,6 +92,86 @@ def test_components(spark):
     assert found == {k: 1 for k in range(1, 31)} | {50: 50, 55: 50, 60: 50}
 
 
+def tasks_of(spark, run):
+    """What run() gives, and how many tasks Spark ran for it."""
+    context, group = spark.sparkContext, f"tasks{random.random()}"
+    context.setJobGroup(group, "")
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_components_of_hubs_and_paths(spark, monkeypatch, most):
+    """A hub, a long path and random links over many tasks, with stars of all of a task's edges and of three at a time."""
+    rng, whole = random.Random(6), minhash.starred
+    monkeypatch.setattr(minhash, "starred", lambda edges: whole(edges, most))
+    path = rng.sample(range(1000, 2000), 300)
+    edges = list(zip(path, path[1:], strict=False)) + [(5000, 4000 - k) for k in range(300)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(150)] + [(k, k) for k in range(7000, 7003)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    rows = minhash.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    assert {r.node: r.component for r in rows} == {x: find(x) for x in linked} and len(rows) == len(linked)
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_take_few_tasks(spark):
+    """Where small parts aren't put together, each exchange costs a task and its files for each part."""
+    keep = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in keep}
+    edges = spark.createDataFrame([(100 * g, 100 * g + k) for g in range(40) for k in range(1, 9)] + [(100 * g + 8, 100 * g + 9) for g in range(40)], "a long, b long").repartition(4)
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        found, tasks = tasks_of(spark, lambda: {r.node: r.component for r in minhash.components(edges).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {100 * g + k: 100 * g for g in range(40) for k in range(10)}
+    assert tasks < 600
+
+
+def test_further_links_join_components(spark, monkeypatch):
+    """One band of one value deals the texts into few groups, so most links lie beside the stars of their leaders: the
+    second search joins components of several texts and single texts."""
+    rng = random.Random(21)
+    base, texts = [f"b{k}" for k in range(200)], {}
+    for i in range(30):
+        w = list(base)
+        for k in rng.sample(range(200), 16):
+            w[k] = f"e{i}.{k}"
+        for j in range(3):
+            w[rng.randrange(200)] = f"f{i}.{j}"
+            texts[10 * i + j + 1] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets, key = {i: shingle_set(t, 2) for i, t in texts.items()}, {r.doc_id: r.bands[0] for r in minhash.sketch(docs, 2, 1, 1).collect()}
+    component = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            both = len(sets[a] & sets[b])
+            if a < b and key[a] == key[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                component = {i: component[a] if c == component[b] else c for i, c in component.items()}
+    calls, kept, whole, verify = [], [], minhash.components, minhash.verify
+    monkeypatch.setattr(minhash, "components", lambda edges: calls.append(edges.count()) or whole(edges))
+    monkeypatch.setattr(minhash, "verify", lambda *a: kept.append(verify(*a)) or kept[-1])
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2, t=1, bands=1).collect()}
+    assert found == {i: min(j for j, d in component.items() if d == c) for i, c in component.items()}
+    assert calls == [k.count() for k in kept] and min(calls) > 0
+
+
 def brute_repeats(rows, n):
     """Each row's words, how many go, and what is left."""
     split = [WORD.findall((t or "").encode()) for t in rows]

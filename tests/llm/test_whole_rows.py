@@ -28,3 +28,22 @@ def test_copies_with_clashing_and_odd_columns(spark):
     assert all(f.columns == docs.columns and f.schema.simpleString() == docs.schema.simpleString() for f in found)
     a, b = (sorted(map(tuple, f.collect()), key=repr) for f in found)
     assert a == b and sorted((r[0], r[1]) for r in a if r[0]) == [(1, "t u v"), (2, "t u v"), (3, None)] and len(a) == 4
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """A step in the checkpoint folder leaves no shuffle behind, and other queries keep theirs."""
+    import time
+
+    from graphloom.llm.common import CLEAN, durable
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    wide = spark.range(0, 1000, 1, 3).selectExpr("id % 7 AS k", "id")
+    setting, before = spark.conf.get(CLEAN), tracker.shuffleStatuses().size()
+    step = durable(wide.groupBy("k").count())
+    for _ in range(50):
+        if tracker.shuffleStatuses().size() <= before:
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() <= before
+    assert spark.conf.get(CLEAN) == setting
+    assert sorted(r["count"] for r in step.join(wide, "k").groupBy("k").agg({"count": "max"}).withColumnRenamed("max(count)", "count").collect()) == [142, 143, 143, 143, 143, 143, 143]
