@@ -70,7 +70,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
-        for doc_ids, texts in text_slices(batches):
+        for doc_ids, texts in text_slices(batches, 1 << 19):
             ids, counts = with_end(*encoder(texts), end_id)
             ids, pieces = ids.astype("<u4"), -(-counts // length)
             of = np.repeat(np.arange(len(texts)), pieces)

@@ -62,6 +62,9 @@ class ChunkEncoder:
     A text that holds the string of an added token goes to the library whole, which finds added tokens before it splits.
     """
 
+    #: New chunks that one call of the library gets.
+    block = 4096
+
     def __init__(self, tokenizer, chunks: re.Pattern = CHUNK, most: int = 1_000_000, folds: bool = False, whole=None):
         """tokenizer takes the strings of added tokens for ordinary text; whole (if any) gives one that takes them for
         tokens, and is called when a text has one; folds: both take lower case, so ASCII texts are lowered before chunks
@@ -121,7 +124,9 @@ class ChunkEncoder:
         counts, first = np.fromiter(map(len, per_text), np.int64, len(per_text)), len(self.known)
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
         if new := self.known.fresh:
-            self._learn(new, first)
+            # In blocks: what the library makes of a chunk takes some hundred times its bytes.
+            for k in range(0, len(new), self.block):
+                self._learn(new[k : k + self.block], first + k)
             self.known.fresh = []
         ids, ends = gather(self.pool, self.starts, self.lengths, which)
         if len(self.known) > self.most:

@@ -131,3 +131,25 @@ def test_packing(docs, no_docs, edge_rows):
             at += length
         assert at <= 256
     assert packing.pack_documents(no_docs, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_new_chunks_are_learned_in_blocks(monkeypatch):
+    """No call of the library gets more than a block of new chunks, and the ids are those of whole texts."""
+
+    class Counting:
+        def __init__(self, made):
+            self.made, self.sizes = made, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.sizes.append(len(texts))
+            return self.made.encode_batch_fast(texts, **how)
+
+    plain = tokens.load(P.path("byte_bpe_50k.json"), ordinary=True)
+    texts = [" ".join(f"word{k * j} x{k}" for k in range(40)) for j in range(1, 9)] + ["", "one"]
+    monkeypatch.setattr(tokens.ChunkEncoder, "block", 16, raising=False)
+    encoder = tokens.ChunkEncoder(counting := Counting(plain))
+    for _ in range(2):
+        ids, counts = encoder(texts)
+        assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+        assert counts.tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(counting.sizes) > 5 and max(counting.sizes) <= 16
