@@ -55,6 +55,29 @@ def test_no_community_is_disconnected(spark):
     assert found == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
 
 
+def test_pieces_and_dealt_nodes_change_no_community(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [f"n{k:02}" for k in range(60)]
+    edges = [(a, b) for a, b in itertools.combinations(names, 2) if rng.random() < (0.5 if int(a[1:]) % 4 == int(b[1:]) % 4 else 0.05)]
+    edges += [("n00", n) for n in names[1:40]]
+    graph = made(spark, names, edges)
+    found = lambda: {r.qualified_name: r.label for r in communities.modularity_communities(graph, 1.0, levels=2, rounds=3).collect()}
+    alone = found()
+    assert 1 < len(set(alone.values())) < 30
+    for name, most in (("BLOCK", 16), ("PIECE", 99), ("HUB", 30)):
+        monkeypatch.setattr(communities.blocks, name, most)
+    assert found() == alone
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    names = [f"{g}{k}" for g in "abc" for k in range(5)]
+    edges = [(x, y) for g in "abc" for x, y in itertools.combinations([n for n in names if n[0] == g], 2)] + [("a0", "b0"), ("b2", "c2")]
+    spark.sparkContext.setJobGroup("few", "few")
+    communities.modularity_communities(made(spark, names, edges), 1.0).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 60
+
+
 def test_oversized_communities_are_split(spark):
     names = [f"{g}{k}" for g in "ab" for k in range(6)]
     edges = [(x, y) for g in "ab" for x, y in itertools.combinations([n for n in names if n[0] == g], 2)] + [("a0", "b0")]
